@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["run_queries", "token_queries", "word_queries", "pair_queries", "similar_queries", "span_queries"]
+QUERY_MODULES = ["run_queries", "token_queries", "word_queries", "pair_queries", "similar_queries", "span_queries", "subject_queries", "mix_queries"]
 
 
 def registries() -> list:
