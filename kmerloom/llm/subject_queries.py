@@ -13,8 +13,14 @@ REG = Registry()
 
 
 def subjects_of_documents(spark: SparkSession, docs: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc, subject, n_sentences) for the documents; empty without subjects, labels or documents."""
+    """(doc, subject, n_sentences) for the documents.
+
+    Null and blank texts have no subject. Without documents, labels of known subjects,
+    or with fewer than two subjects there is no row.
+    """
     names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(MOST_SUBJECTS + 1).collect()]
+    if len(names) < 2:
+        return spark.createDataFrame([], "doc bigint, subject string, n_sentences bigint")
     graph = SubjectGraph(names)
     labelled, full = graph.spread(docs, "doc_id", "text", "lang", "agenda_item", seed_labels(labels, "doc_id", "subject", "annotator", names))
     return graph.subjects_of(labelled, full)
