@@ -20,15 +20,15 @@ from kmerloom.session import broadcast_if_small, stored
 
 #: Subjects that the columns of a run may spread over.
 MOST_SUBJECTS = 200
-ROUNDS = 5
-#: Likelihood ratio (G) beyond which a term's lean to a subject is verified; least lift and share of the subject.
-VERIFIED_G, VERIFIED_LIFT, VERIFIED_SHARE = 12.0, 2.0, 0.3
+ROUNDS = 7
+#: Likelihood ratio (G) beyond which a term's lean to a subject is verified; least odds ratio and share of the subject.
+VERIFIED_G, VERIFIED_ODDS, VERIFIED_SHARE = 12.0, 3.0, 0.2
 #: A term in so many seeds that leans to no subject by more than this lift is neutral.
 NEUTRAL_SEEDS, NEUTRAL_LIFT = 50, 1.5
 #: Sentences with a word beside which sentences rarely agree with their document (comparisons, asides) don't count.
 AGREEMENT, AGREEMENT_SENTENCES = 0.35, 20
 CONFIDENT = 0.6
-SENTENCE_END = r"(?<=[.!?…])\s+|[\r\n\u0085  ]+"
+SENTENCE_END = r"(?<=[.!?…])\s+|[\r\n\u0085\u2028\u2029]+"
 WORD = r"\p{L}+(?:-\p{L}+)*"
 
 
@@ -75,14 +75,17 @@ class SubjectGraph:
         return [F.col(f"{x}{c}") for c in self.n]
 
     def _bases(self, shares: DataFrame) -> DataFrame:
-        """(lang, b*): shares of the subjects in each language, drawn to those of all languages by 20 sentences."""
+        """(lang, b*): shares of the subjects in each language, from documents (lang, q*), drawn to those of all languages by 20 documents.
+
+        A document counts once, however long it is.
+        """
         sums = shares.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f"q{c}").alias(f"q{c}") for c in self.n])
         every = sums.agg(F.sum("n").alias("all"), *[F.sum(f"q{c}").alias(f"t{c}") for c in self.n])
         return sums.crossJoin(F.broadcast(every)).select("lang", *[((F.col(f"q{c}") + 20 * F.col(f"t{c}") / F.col("all") + 1e-6) / (F.col("n") + 20)).alias(f"b{c}") for c in self.n])
 
-    def _terms(self, shares: DataFrame) -> DataFrame:
-        """(term, n, lift, verified, w*): how each term leans, from rows (lang, terms, q*)."""
-        bases = F.broadcast(self._bases(shares))  # a row for each language; 1-row crossJoin above
+    def _terms(self, shares: DataFrame, docs: DataFrame) -> DataFrame:
+        """(term, n, lift, verified, w*): how each term leans, from rows (lang, terms, q*) and documents (lang, q*)."""
+        bases = F.broadcast(self._bases(docs))  # a row for each language; 1-row crossJoin above
         own = shares.join(bases, shares["lang"].eqNullSafe(bases["lang"])).select(F.explode("terms").alias("term"), *self.cols("q"), *self.cols("b"))
         sums = own.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(f"{x}{c}").alias(f"{x}{c}") for c in self.n for x in "qb"])
         a, e = self.cols("q"), self.cols("b")  # e: what the languages of its sentences let expect
@@ -91,7 +94,8 @@ class SubjectGraph:
         share = [(x + 2 * y / n) / (n + 2) for x, y in zip(a, e)]
         lift = [s * n / y for s, y in zip(share, e)]
         top = F.greatest(*lift)
-        verified = (g > VERIFIED_G) & (top > VERIFIED_LIFT) & (F.greatest(*share) > VERIFIED_SHARE) & (n >= 2)
+        odds = F.greatest(*[x / (1.000001 - x) * (1.000001 - y / n) / (y / n) for x, y in zip(share, e)])
+        verified = (g > VERIFIED_G) & (odds > VERIFIED_ODDS) & (F.greatest(*share) > VERIFIED_SHARE) & (n >= 2)
         return sums.select("term", "n", top.alias("lift"), verified.alias("verified"), *[F.log(x).alias(f"w{c}") for c, x in zip(self.n, lift)])
 
     def _labelled(self, each: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ class SubjectGraph:
         # the seeds alone: a document's terms lean to its subjects in equal parts
         sown = state.filter("seed").select("doc", "lang", *[(F.col(f"m{c}") / m).alias(f"q{c}") for c in self.n])
         first = full.join(sown.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).join(sown, "doc")
-        terms = stored(self._terms(first))
+        terms = stored(self._terms(first, sown))
         neutral = terms.filter((F.col("n") >= NEUTRAL_SEEDS) & (F.col("lift") < NEUTRAL_LIFT)).select("term")
         rare = full.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter("n >= 5").select("term")
         kept = broadcast_if_small(rare.join(neutral, "term", "left_anti"))
@@ -146,8 +150,9 @@ class SubjectGraph:
             labelled = stored(self._labelled(each, terms, place))
             if i + 1 < rounds:
                 place = stored(self._documents(place, labelled))
-                live = labelled.join(place.filter("live").select("doc"), "doc", "left_semi")
-                terms = stored(self._terms(live))
+                heard = place.filter("live")
+                live = labelled.join(heard.select("doc"), "doc", "left_semi")
+                terms = stored(self._terms(live, heard.select("lang", *[F.col(f"p{c}").alias(f"q{c}") for c in self.n])))
         self.terms = terms
         return labelled.drop("terms", "lang"), full
 
