@@ -19,29 +19,33 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, line): lines in the order of their file. A file is read as a whole row: for reports and logs, not for reads."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 
 def read_fasta(spark: SparkSession, path: str, upper: bool = True, first_line_only: bool = False) -> DataFrame:
     """(header, seq): records that begin with '>'; sequence lines are joined and trimmed.
 
-    Text before the first record is no record. upper=False keeps the case;
-    first_line_only takes the first line after the header only.
+    Comments (';') and blank lines before the first record are no record. upper=False
+    keeps the case; first_line_only takes the first line after the header only.
+    Files are split between records, so they may be of any size.
     """
-    records = _lines(spark, path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("r"), F.col("value").startswith(">").alias("first"), F.col("_metadata.file_block_start").alias("b"))
+    records = _lines(spark, path, lineSep="\n>").filter("left(ltrim(value), 1) <> ';'").select(F.regexp_replace("value", "^>", "").alias("r"))
     lines = F.split("r", "\r?\n")
-    seq = F.trim(F.element_at(lines, 2)) if first_line_only else F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
-    kept = records.filter("first or r rlike '^[^\\n]*\\n'")
-    return kept.select(F.trim(F.element_at(lines, 1)).alias("header"), F.coalesce(F.upper(seq) if upper else seq, F.lit("")).alias("seq")).filter("header <> ''")
+    seq = F.trim(F.get(lines, F.lit(1))) if first_line_only else F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), r"\s", "")
+    return records.select(F.trim(F.element_at(lines, 1)).alias("header"), F.coalesce(F.upper(seq) if upper else seq, F.lit("")).alias("seq")).filter("header <> ''")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(header, seq, qual): '@' header, sequence lines up to '+', then as much quality as sequence. Records of four lines."""
-    rows = _lines(spark, path, lineSep="\n@").select(F.split(F.regexp_replace("value", "^@", ""), "\r?\n").alias("l"))
-    plus = F.expr("array_position(transform(l, x -> left(x, 1) = '+'), true)")
-    cut = rows.withColumn("p", plus.cast("int")).filter("p > 2")
-    return cut.select(F.trim(F.expr("l[0]")).alias("header"), F.upper(F.expr("array_join(slice(l, 2, p - 2), '')")).alias("seq"), F.expr("array_join(slice(l, p + 1, size(l)), '')").alias("qual")).filter("length(seq) > 0")
+    """(header, seq, qual): records of four lines '@' header, sequence, '+', quality.
+
+    A quality may begin with '@', so records can't be told from a part of a file: a file
+    is read whole by one task. Records with lines missing are dropped.
+    """
+    rows = _numbered_lines(spark, path).withColumn("rec", F.expr("n div 4")).groupBy("file", "rec").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    line = lambda i: F.trim(F.get("l", F.lit(i))["line"])
+    whole = rows.filter(F.size("l") == 4).filter(line(0).startswith("@") & line(2).startswith("+"))
+    return whole.select(F.substring(line(0), F.lit(2), F.length(line(0))).alias("header"), F.upper(line(1)).alias("seq"), line(3).alias("qual"))
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +168,7 @@ def nhood_name(col: Column) -> list[Column]:
 
 def read_nhoods(spark: SparkSession, folder: str, pattern: str = "*nh*_*.fasta") -> DataFrame:
     """(file, pos, kmer, header, seq) of a folder of neighbourhoods; place and kt-mer come from the file names. Files are read whole."""
-    whole = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    whole = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     records = whole.select(F.col("_metadata.file_name").alias("file"), F.explode(F.split(F.concat(F.lit("\n"), "value"), "\n>")).alias("r")).filter("trim(r) <> ''")
     lines = F.split("r", "\r?\n")
     return records.select("file", *nhood_name(F.col("file")), F.trim(lines[0]).alias("header"), F.upper(F.array_join(F.slice(lines, 2, F.size(lines)), "")).alias("seq"))
@@ -201,4 +205,4 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_list_log(spark: SparkSession, path: str) -> DataFrame:
     """(n, items) of lines like "['12', 'ACGT', '7']"."""
-    return _numbered_lines(spark, path).filter("line like '[%'").select("n", F.transform(F.split(F.regexp_replace("line", r"[\[\]'\"]", ""), ","), F.trim).alias("items"))
+    return _numbered_lines(spark, path).filter("line like '[%'").select("n", F.transform(F.split(F.regexp_replace("line", r"[\[\]'\"]", ""), ","), lambda x: F.trim(x)).alias("items"))

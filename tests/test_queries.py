@@ -1,0 +1,24 @@
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from tests.compare import duck, rows_of_spark, rows_of_sql
+
+SF = "/root/testdata/sf0.001"
+QUERIES = {n: (f, r.sql.get(n)) for r in (__import__(m, fromlist=["REG"]).REG for m in entry.MODULES) for n, f in r.queries.items()}
+
+
+def test_names_are_whole():
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    f, sql = QUERIES[name]
+    df = f(spark, SF)
+    rows = rows_of_spark(df)
+    if sql:
+        names, want = rows_of_sql(duck(SF), sql)
+        assert names == sorted(df.columns) and rows == want
