@@ -22,7 +22,7 @@ from kmerloom.session import broadcast_if_small, stored
 MOST_SUBJECTS = 200
 ROUNDS = 7
 #: Likelihood ratio (G) beyond which a term's lean to a subject is verified; least odds ratio and share of the subject.
-VERIFIED_G, VERIFIED_ODDS, VERIFIED_SHARE = 12.0, 3.0, 0.2
+VERIFIED_G, VERIFIED_ODDS, VERIFIED_SHARE = 12.0, 3.0, 0.25
 #: A term in so many seeds that leans to no subject by more than this lift is neutral.
 NEUTRAL_SEEDS, NEUTRAL_LIFT = 50, 1.5
 #: Sentences with a word beside which sentences rarely agree with their document (comparisons, asides) don't count.
