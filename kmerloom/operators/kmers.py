@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import is_low_complexity, is_palindrome, kmer_rows, read_id
-from kmerloom.session import broadcast_if_small, one_row_per_key
+from kmerloom.session import broadcast_if_small, one_row_per_key, stored
 
 
 def reads_of(fasta: DataFrame, key: str = "read_idx") -> DataFrame:
@@ -64,7 +64,7 @@ def encode_reads(reads: DataFrame, ktmers: DataFrame, k: int) -> DataFrame:
 
     gap is the distance from the kt-mer before, from the read's begin for the first.
     """
-    hits = kmer_rows(reads, "seq", k, "read_idx").join(broadcast_if_small(ktmers.select("kmer")), "kmer", "left_semi")
+    hits = kmer_rows(reads, "seq", k, "read_idx").join(broadcast_if_small(stored(ktmers.select("kmer"))), "kmer", "left_semi")
     order = Window.partitionBy("read_idx").orderBy("pos")
     return hits.select("read_idx", (F.row_number().over(order) - 1).alias("ord"), "kmer", "pos", (F.col("pos") - F.lag("pos", 1, 0).over(order)).alias("gap"))
 
