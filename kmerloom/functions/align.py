@@ -76,6 +76,18 @@ def affine(s1: str | None, s2: str | None, match: float = 1.0, mismatch: float =
     return float(top), len(kind), int((kind == 4).sum()), int((kind == 5).sum()), gaps, gaps - opened, end1, end2
 
 
+def affine_span(s1: str | None, s2: str | None) -> tuple[int, int, int, int, int, int]:
+    """(begin and end in s1, begin and end in s2, matches, length) of the local alignment; all 0 if there is none.
+
+    The begins are the ends of the same alignment made backwards from its ends.
+    """
+    *_, end1, end2 = affine(s1, s2)
+    if not end1:
+        return 0, 0, 0, 0, 0, 0
+    _, n, matches, *_, back1, back2 = affine(s1[:end1][::-1], s2[:end2][::-1])
+    return end1 - back1, end1, end2 - back2, end2, matches, n
+
+
 def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of all prefixes, a row at a time."""
     out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
