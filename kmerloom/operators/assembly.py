@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from kmerloom.functions.align import affine_span
 from kmerloom.functions.dna import deletions, kmer_rows
 from kmerloom.operators import graph
+from kmerloom.operators.evaluate import not_contained, range_overlaps
 from kmerloom.session import broadcast_if_small, stored
 
 _BLOCK = 1000
@@ -313,3 +314,38 @@ def layout(alignments: DataFrame) -> DataFrame:
     own = covered.join(blocks, ["target", "block"]).groupBy("target", "row").agg(F.flatten(F.collect_list("ws")).alias("ws"), F.min("before").alias("before"))
     ahead = F.expr("aggregate(filter(ws, x -> x.p < t_beg), 0L, (s, x) -> s + x.w)")
     return rows.join(own, ["target", "row"]).select("target", "row", (F.col("t_beg") + F.col("before") + ahead).alias("offset"), lines("t_beg", "q_aligned", "t_aligned", "ws").alias("line"))
+
+
+def merge_by_place(contigs: DataFrame, ktmers: DataFrame, k: int, most: int, width: int = 1000, most_rounds: int = 30) -> DataFrame:
+    """contigs(id, beg, end, seq) merged where one's end overlaps another's begin by at most `most`, until none does; those inside others are dropped.
+
+    In a round each contig is joined to the one it overlaps most, ties by the least id,
+    if that one's choice is the same; chains of such joints are merged at once, under
+    the id of their first. The overlap is taken from the contig whose own k-mer at the
+    joint has the higher t in ktmers(kmer, t, degree; one row a k-mer), then the higher
+    degree, then from the right one; a k-mer that isn't listed counts 0.
+    """
+    now = stored(contigs.select("id", "beg", "end", "seq").dropna())
+    known = broadcast_if_small(stored(ktmers.select("kmer", F.struct(F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("degree", F.lit(0)).alias("d")).alias("w"))))
+    none = F.struct(F.lit(0).alias("t"), F.lit(0).alias("d"))
+    for _ in range(most_rounds):
+        now = stored(not_contained(now, width))
+        found = stored(range_overlaps(now, width).filter(F.col("overlap") <= most))
+        right = found.groupBy("a").agg(F.max_by(F.struct("b", "overlap"), F.struct("overlap", -F.col("b"))).alias("x")).select("a", "x.*")
+        left = found.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
+        joints = stored(right.join(left, ["a", "b"]))
+        if joints.isEmpty():
+            return now
+        for x, kmer in (("a", F.right("seq", F.lit(k))), ("b", F.left("seq", F.lit(k)))):
+            ends = now.select(F.col("id").alias(x), kmer.alias("kmer")).join(known, "kmer", "left").select(x, F.coalesce("w", none).alias(f"w_{x}"))
+            joints = joints.join(ends, x)
+        joints = stored(joints.select("a", "b", F.col("overlap").cast("int").alias("overlap"), (F.col("w_a") > F.col("w_b")).alias("of_a")))
+        chain = graph.unitigs(joints.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        every = now.join(chain.withColumnRenamed("node", "id"), "id", "left")
+        every = every.join(joints.select(F.col("b").alias("id"), F.when(F.col("of_a"), F.col("overlap")).otherwise(0).alias("cut")), "id", "left")
+        every = every.join(joints.select(F.col("a").alias("id"), F.when(F.col("of_a"), 0).otherwise(F.col("overlap")).alias("back")), "id", "left")
+        piece = F.expr("substring(seq, coalesce(cut, 0) + 1, greatest(length(seq) - coalesce(cut, 0) - coalesce(back, 0), 0))")
+        rows = every.select(F.coalesce("unitig", "id").alias("id"), "beg", "end", F.struct(F.coalesce("ord", F.lit(0)).alias("ord"), piece.alias("piece")).alias("x"))
+        merged = rows.groupBy("id").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.array_sort(F.collect_list("x")).alias("l"))
+        now = stored(merged.select("id", "beg", "end", F.array_join(F.col("l.piece"), "").alias("seq")))
+    raise RuntimeError(f"overlaps are left after {most_rounds} rounds")

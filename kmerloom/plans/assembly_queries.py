@@ -9,11 +9,11 @@ from pyspark.sql import types as T
 
 from kmerloom.functions.align import gapped_rows
 from kmerloom.operators import assembly, consensus, graph, kmers, nhood
-from kmerloom.plans import align_queries, common
+from kmerloom.plans import align_queries, common, eval_queries
 from kmerloom.plans.registry import Registry
 from kmerloom.plans.sql import CONTIGS, READS, plain_complexity, rc
 from kmerloom.plans.sql import kmers as kmers_sql
-from kmerloom.session import stored
+from kmerloom.session import stored, table
 
 REG = Registry()
 K, T_MIN, T_MAX = 15, 4, 55
@@ -66,6 +66,14 @@ def circular_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.trim_circular(common.contigs(spark, sf_dir), "contig", "seq", 200, 50, 90.0)
 
 
+@REG.query("merged_supercontigs")
+def merged_supercontigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with a known place merged where they overlap by 100 bases at most; the listed kt-mers decide about the overlaps."""
+    placed = eval_queries._places(spark, sf_dir).join(common.reads(spark, sf_dir).select(F.col("read_idx").alias("id"), "seq"), "id")
+    listed = table(spark, sf_dir, "ktmers").filter("kmer is not null").groupBy(F.upper("kmer").alias("kmer")).agg(F.max("t").alias("t"), F.max("degree").alias("degree"))
+    return assembly.merge_by_place(placed, listed, 18, 100)
+
+
 _COUNTED = f"""{kmers_sql(BASE_K + ADD_K)}, {kmers_sql(BASE_K + ADD_K + 1, name="km1")}
 , longer AS (SELECT kmer, count(*) AS t FROM km1 GROUP BY kmer
 ), dels AS (SELECT DISTINCT substr(kmer, 1, CAST(i AS BIGINT)) || substr(kmer, CAST(i AS BIGINT) + 2) AS kmer, kmer AS of, t FROM (SELECT kmer, t, unnest(range({BASE_K + ADD_K + 1})) AS i FROM longer)

@@ -156,3 +156,15 @@ def test_nulls_do_not_break_the_layout(spark):
     rows = [("g", 1, 0, "AC", "AC"), ("g", 2, None, "A", "A"), (None, 3, 0, "A", "A"), ("g", 4, 0, None, None)]
     got = assembly.layout(spark.createDataFrame(rows, "target string, row long, t_beg int, q_aligned string, t_aligned string")).collect()
     assert [(r.row, r.offset, r.line) for r in got] == [(1, 0, "AC")]
+
+
+def test_contigs_merge_by_place(spark):
+    rng = np.random.default_rng(13)
+    g = dna(rng, 300)
+    left = g[:95] + "A" * 5  # its last bases are wrong, and so lose by t
+    rows = [(1, 0, 100, left), (2, 90, 200, g[90:200]), (3, 195, 300, g[195:]), (4, 120, 150, g[120:150]), (5, 500, 520, "ACGT" * 5), (6, None, 3, "ACG")]
+    df = spark.createDataFrame(rows, "id long, beg long, end long, seq string")
+    kt = spark.createDataFrame([(g[90:98], 5, 1), (g[192:200], None, 2)], "kmer string, t int, degree int")
+    got = {r.id: (r.beg, r.end, r.seq) for r in assembly.merge_by_place(df, kt, 8, 20).collect()}
+    assert got == {1: (0, 300, g), 5: (500, 520, "ACGT" * 5)}
+    assert assembly.merge_by_place(df.limit(0), kt, 8, 20).count() == 0
