@@ -7,6 +7,7 @@ Sequences are whole; a null sequence counts as an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -15,65 +16,112 @@ from pyspark.sql.functions import pandas_udf
 
 ALIGNMENT = T.StructType([T.StructField("score", T.DoubleType())] + [T.StructField(x, T.IntegerType()) for x in ("align_len", "matches", "mismatches", "gap_positions", "gap_extends", "end1", "end2")])
 _DIAG, _LEFT, _UP, _STOP = 3, 2, 1, 0
+#: Bytes up to which the table of a pair is kept whole for the way back.
+WHOLE = 1 << 25
 
 
 def _bytes(x: str | None) -> np.ndarray:
     return np.frombuffer((x or "").encode("latin-1", "replace"), np.uint8)
 
 
+class _Rows:
+    """Rows 0 to n of a table, each made from the one before by step(state, i) -> state; the last member of a state is what the way back reads.
+
+    Up to WHOLE bytes all of them are kept. Of a larger table the states of every
+    sqrt(n)-th row are, and the rows between are made again, a block at a time.
+    """
+
+    def __init__(self, n: int, first: tuple, step: Callable[[tuple, int], tuple], look: Callable[[int, tuple], None] = lambda i, state: None):
+        self.step, self.every, self.block = step, max(n, 1), 0
+        whole = (n + 1) * first[-1].nbytes <= WHOLE
+        if not whole:
+            self.every, self.block = isqrt(n) + 1, -1
+        self.states, self.rows, state = [first], [first[-1]], first
+        for i in range(1, n + 1):
+            state = step(state, i)
+            look(i, state)
+            if whole:
+                self.rows.append(state[-1])
+            elif i % self.every == 0:
+                self.states.append(state)
+
+    def two(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row i and the one above; that of 0 stands for its own."""
+        block = max(0, i - 1) // self.every
+        if block != self.block:
+            state, self.block = self.states[block], block
+            self.rows = [state[-1]]
+            for x in range(block * self.every + 1, i + 1):  # the way back never goes down
+                state = self.step(state, x)
+                self.rows.append(state[-1])
+        at = i - block * self.every
+        return self.rows[at], self.rows[max(0, at - 1)]
+
+
 def affine(s1: str | None, s2: str | None, match: float = 1.0, mismatch: float = -1.0, opening: float = -1.0, extending: float = -0.5, fitting: bool = False) -> tuple:
     """Affine-gap alignment: local, or (fitting) of all of s1 to any part of s2.
 
-    A gap of n costs opening + n * extending. Among equal scores a step prefers the
-    diagonal, then a gap in s1, then one in s2, and the last best end wins. An
-    alignment without a positive score, or of an empty sequence, is empty.
+    A gap of n costs opening + n * extending, and opening is not positive. Among equal
+    scores a step prefers the diagonal, then a gap in s1, then one in s2, and the last
+    best end wins. An alignment without a positive score, or of an empty sequence, is
+    empty.
     """
+    if opening > 0:
+        raise ValueError("opening must not be positive")
     a, b = _bytes(s1), _bytes(s2)
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, 0, 0, 0, 0, 0, 0, 0
-    way = np.zeros((n + 1, m + 1), np.int8)
-    score = np.zeros((n + 1, m + 1))
-    none = -1e18
-    down, right = np.full((n + 1, m + 1), none), np.full((n + 1, m + 1), none)
-    edge = opening + extending * np.arange(1, max(n, m) + 1)
-    down[1:, 0], right[0, 1:] = edge[:n], edge[:m]
-    if fitting:
-        score[1:, 0] = edge[:n]
-        way[1:, 0] = _UP
-    for d in range(2, n + m + 1):  # cells with i + j = d depend on the two anti-diagonals before
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        diag = score[i - 1, j - 1] + np.where(a[i - 1] == b[j - 1], match, mismatch)
-        up = np.maximum(down[i - 1, j] + extending, score[i - 1, j] + opening + extending)
-        left = np.maximum(right[i, j - 1] + extending, score[i, j - 1] + opening + extending)
-        down[i, j], right[i, j] = up, left
-        best = np.maximum(np.maximum(diag, left), up)
+    costs = (match, mismatch, opening, extending)
+    halves = all(float(2 * x).is_integer() for x in costs) and max(map(abs, costs)) * (n + m) < 1 << 27
+    kind = np.int32 if halves else np.float64  # whole numbers of halves are exact and quick
+    same, other, opened, longer = (kind(2 * x) if halves else kind(x) for x in costs)
+    none = kind(-(1 << 29))
+    pair = {x: np.where(b == x, same, other).astype(kind) for x in np.unique(a).tolist()}
+    slope = longer * np.arange(m + 1, dtype=kind)
+    letters = a.tolist()
+
+    def step(state: tuple, i: int) -> tuple:
+        score, down, _ = state
+        diag = score[:-1] + pair[letters[i - 1]]
+        up = np.maximum(down + longer, score[1:] + (opened + longer))
+        best = np.empty(m + 1, kind)
+        best[0] = opened + longer * i if fitting else 0
+        np.maximum(diag, up, out=best[1:])
         if not fitting:
-            best = np.maximum(best, 0.0)
-        score[i, j] = best
-        way[i, j] = np.where(diag == best, _DIAG, np.where(left == best, _LEFT, np.where(up == best, _UP, _STOP)))
-    if fitting:
-        last = score[n, 1:]
-        top = last.max()
-        if top < 0:
-            return 0.0, 0, 0, 0, 0, 0, 0, 0
-        i, j = n, int(np.flatnonzero(last == top)[-1]) + 1
-    else:
-        top = score[1:, 1:].max()
-        if top <= 0:
-            return 0.0, 0, 0, 0, 0, 0, 0, 0
-        i, j = (int(x) + 1 for x in np.argwhere(score[1:, 1:] == top)[-1])
-    end1, end2 = i, j
+            np.maximum(best, 0, out=best)
+        left = (np.maximum.accumulate(best - slope) + (slope + opened))[:-1] + longer  # a gap that follows a gap is never better
+        np.maximum(best[1:], left, out=best[1:])
+        way = np.empty(m + 1, np.int8)
+        way[0] = _UP if fitting else _STOP
+        now = best[1:]
+        way[1:] = np.where(diag == now, _DIAG, np.where(left == now, _LEFT, up == now))
+        return best, up, way
+
+    top, end = none, (0, 0)
+
+    def look(i: int, state: tuple) -> None:
+        nonlocal top, end
+        if i == n or not fitting:
+            row = state[0][1:]
+            if (most := row.max()) >= top:
+                top, end = most, (i, m - int(row[::-1].argmax()))
+
+    table = _Rows(n, (np.zeros(m + 1, kind), np.full(m, none, kind), np.zeros(m + 1, np.int8)), step, look)
+    if top < 0 or not fitting and top == 0:
+        return 0.0, 0, 0, 0, 0, 0, 0, 0
+    i, j = end
     steps = []
-    while way[i, j] != _STOP and (i or j):
-        w = way[i, j]
+    while i or j:
+        w = int(table.two(i)[0][j])
+        if w == _STOP:
+            break
         steps.append(w if w != _DIAG else (4 if a[i - 1] == b[j - 1] else 5))
         i, j = i - (w in (_DIAG, _UP)), j - (w in (_DIAG, _LEFT))
-    kind = np.array(steps, np.int8)
-    gaps = int(np.isin(kind, (_LEFT, _UP)).sum())
-    opened = sum(int(np.sum((kind == g) & (np.r_[0, kind[:-1]] != g))) for g in (_LEFT, _UP))
-    return float(top), len(kind), int((kind == 4).sum()), int((kind == 5).sum()), gaps, gaps - opened, end1, end2
+    kinds = np.array(steps, np.int8)
+    gaps = int(np.isin(kinds, (_LEFT, _UP)).sum())
+    runs = sum(int(np.sum((kinds == g) & (np.r_[0, kinds[:-1]] != g))) for g in (_LEFT, _UP))
+    return float(top) / (2 if halves else 1), len(kinds), int((kinds == 4).sum()), int((kinds == 5).sum()), gaps, gaps - runs, *end
 
 
 def affine_span(s1: str | None, s2: str | None) -> tuple[int, int, int, int, int, int]:
@@ -88,12 +136,18 @@ def affine_span(s1: str | None, s2: str | None) -> tuple[int, int, int, int, int
     return end1 - back1, end1, end2 - back2, end2, matches, n
 
 
-def lcs_table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def lcs_table(a: np.ndarray, b: np.ndarray) -> _Rows:
     """Lengths of the longest common subsequences of all prefixes, a row at a time."""
-    out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(1, len(a) + 1):
-        out[i, 1:] = np.maximum.accumulate(np.maximum(out[i - 1, 1:], out[i - 1, :-1] + (a[i - 1] == b)))
-    return out
+    pair = {x: b == x for x in np.unique(a).tolist()}
+    letters = a.tolist()
+
+    def step(state: tuple, i: int) -> tuple:
+        (row,) = state
+        out = np.zeros(len(b) + 1, np.int32)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + pair[letters[i - 1]]), out=out[1:])
+        return (out,)
+
+    return _Rows(len(a), (np.zeros(len(b) + 1, np.int32),), step)
 
 
 def common_subsequence(s1: str | None, s2: str | None) -> str:
@@ -102,9 +156,10 @@ def common_subsequence(s1: str | None, s2: str | None) -> str:
     t = lcs_table(a, b)
     i, j, out = len(a), len(b), bytearray()
     while i and j:
-        if t[i, j] == t[i, j - 1]:
+        own, above = t.two(i)
+        if own[j] == own[j - 1]:
             j -= 1
-        elif t[i, j] == t[i - 1, j]:
+        elif own[j] == above[j]:
             i -= 1
         else:
             i, j = i - 1, j - 1
@@ -118,10 +173,11 @@ def common_supersequence(s1: str | None, s2: str | None) -> str:
     t = lcs_table(a, b)
     i, j, out = len(a), len(b), bytearray()
     while i or j:
-        if not i or (j and t[i, j] == t[i, j - 1]):
+        own, above = t.two(i)
+        if not i or (j and own[j] == own[j - 1]):
             j -= 1
             out.append(b[j])
-        elif not j or t[i, j] == t[i - 1, j]:
+        elif not j or own[j] == above[j]:
             i -= 1
             out.append(a[i])
         else:
@@ -163,11 +219,12 @@ def gapped_rows(s1: str, s2: str) -> tuple[str, str]:
     t = lcs_table(a, b)  # without mismatches the best alignment has most matches
     i, j, x, y = len(a), len(b), [], []
     while i or j:
-        if i and j and a[i - 1] == b[j - 1] and t[i, j] == t[i - 1, j - 1] + 1:
+        own, above = t.two(i)
+        if i and j and a[i - 1] == b[j - 1] and own[j] == above[j - 1] + 1:
             i, j = i - 1, j - 1
             x.append(chr(a[i]))
             y.append(chr(b[j]))
-        elif not i or (j and t[i, j] == t[i, j - 1]):
+        elif not i or (j and own[j] == own[j - 1]):
             j -= 1
             x.append("-")
             y.append(chr(b[j]))

@@ -13,7 +13,10 @@ from kmerloom.plans.sql import READS
 from kmerloom.session import stored, table
 
 REG = Registry()
-T_MAX, SHARED, SHORTEST, LONGEST = 55, 4, 450, 550
+T_MAX, SHARED = 55, 4
+#: Lengths between which a read is used for the consensus.
+SHORTEST, LONGEST = 450, 550
+CELLS = 1_000_000_000
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +24,12 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of 450 to 550 bases that share kt-mers, with their sequences, spread over the tasks."""
-    own = common.reads(spark, sf_dir).filter((F.col("len") > SHORTEST) & (F.col("len") < LONGEST)).select("read_idx", "seq")
+    """Reads of any length that share kt-mers, with their sequences, spread over tasks of CELLS or fewer steps of alignment each on average."""
+    own = common.reads(spark, sf_dir).select("read_idx", "seq")
     pairs = _near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour"))).select("base", "neighbour")
-    found = pairs.join(own.select(F.col("read_idx").alias("base"), F.col("seq").alias("s1")), "base").join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour")
-    return stored(found).repartition("base", "neighbour")
+    found = stored(pairs.join(own.select(F.col("read_idx").alias("base"), F.col("seq").alias("s1")), "base").join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour"))
+    cells = found.agg(F.sum(F.length("s1").cast("double") * F.length("s2"))).first()[0] or 0
+    return found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells // CELLS) + 1), "base", "neighbour")
 
 
 def _aligned(spark: SparkSession, sf_dir: str, fitting: bool) -> DataFrame:
