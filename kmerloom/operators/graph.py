@@ -144,17 +144,18 @@ def longest_paths(edges: DataFrame, weight: str, most_rounds: int = ROUNDS) -> D
     raise RuntimeError(f"still changing after {most_rounds} rounds: a cycle, or raise most_rounds")
 
 
-def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, max_dist: int, hops: int) -> DataFrame:
-    """(seed, node, pos): nodes within max_dist of a seed along edges(src, dst, dist) either way, with the least signed place found."""
+def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, max_dist: int) -> DataFrame:
+    """(seed, node, pos): nodes within max_dist of a seed along edges(src, dst, dist) either way, with the least signed place at the least number of hops.
+
+    Goes on until no node is new; every place on the way lies within max_dist, which is the only bound.
+    """
     both = stored(edges.select("src", "dst", "dist").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("dist")).alias("dist"))).distinct())
     known = stored(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("pos")))
     front = known
-    for _ in range(hops):
+    while not front.isEmpty():
         step = front.join(both.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node"), (F.col("pos") + F.col("dist")).alias("pos")).filter(F.abs("pos") <= max_dist)
         front = stored(step.groupBy("seed", "node").agg(F.min_by("pos", F.struct(F.abs("pos"), "pos")).alias("pos")).join(known.select("seed", "node"), ["seed", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        known = stored(known.unionByName(front))
+        known = known.unionByName(front)
     return known
 
 
@@ -177,19 +178,26 @@ def split_nodes(creads: DataFrame, clusters: DataFrame) -> DataFrame:
     return creads.join(clusters, ["kmer", "read_idx"], "left").withColumn("kmer", name).drop("cluster")
 
 
-def walk(steps: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
+def walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, n, node): from each start the best-supported successor in turn; ends where there is none or a node comes again.
 
-    steps(src, dst, n_reads): the support of each successor. All starts walk at once,
-    a round being one join.
+    steps(src, dst, n_reads): the support of each successor. The known parts of all
+    walks and the pointers are doubled by turns, so a walk of n nodes takes log n
+    rounds. A node has one successor, so all is repeated once a node comes again, and
+    the first place of each node is kept.
     """
-    best = stored(steps.groupBy("src").agg(F.max(F.struct("n_reads", F.col("dst").alias("dst"))).alias("b")).select(F.col("src").alias("node"), F.col("b.dst").alias("next")))
-    now = stored(starts.select(F.col("node").alias("start"), F.lit(0).alias("n"), "node"))
-    done = now
-    for i in range(1, rounds + 1):
-        ahead = now.join(best, "node").select("start", F.lit(i).alias("n"), F.col("next").alias("node"))
-        now = stored(ahead.join(done.select("start", "node"), ["start", "node"], "left_anti"))
-        if now.isEmpty():
-            break
-        done = done.unionByName(now)
-    return done
+    ahead = stored(steps.groupBy("src").agg(F.max(F.struct("n_reads", F.col("dst").alias("dst"))).alias("b")).select(F.col("src").alias("node"), F.col("b.dst").alias("next")))
+    now = stored(starts.select(F.col("node").alias("start"), F.lit(0).alias("n"), "node").distinct())
+    ended, have = [], 1
+    while not now.isEmpty():
+        more = now.join(ahead, "node").select("start", (F.col("n") + have).alias("n"), F.col("next").alias("node"))
+        grown = stored(now.unionByName(more).groupBy("start", "node").agg(F.min("n").alias("n")).select("start", "n", "node"))
+        have *= 2
+        whole = stored(grown.groupBy("start").agg(F.count("*").alias("found")).filter(F.col("found") == have).select("start"))
+        ended.append(grown.join(whole, "start", "left_anti"))
+        now = stored(grown.join(whole, "start", "left_semi"))
+        ahead = stored(ahead.join(ahead.select(F.col("node").alias("next"), F.col("next").alias("after")), "next").select("node", F.col("after").alias("next")))
+    out = now
+    for part in ended:
+        out = out.unionByName(part)
+    return out

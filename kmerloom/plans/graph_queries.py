@@ -130,7 +130,7 @@ def bounded_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kt-mers within 200 bases of each listed kt-mer of degree 20 and more, along the edges of successive kt-mers."""
     seeds = table(spark, sf_dir, "ktmers").filter("degree >= 20 and kmer is not null").select(F.upper("kmer").alias("node")).distinct()
     e = graph.a_bruijn(nhood.usable(common.creads(spark, sf_dir), 55)).filter("src <> 'head'").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-    return graph.bounded_neighbourhood(e, seeds, 200, 3)
+    return graph.bounded_neighbourhood(stored(e), seeds, 200)
 
 
 @REG.query("path_exists", f"WITH {READS}, {kmers(K)}, kt AS (SELECT kmer FROM km GROUP BY kmer HAVING count(*) >= {T_MIN}), {kmers(K, name='rk')} SELECT read_idx AS id, bool_and(kmer IN (SELECT kmer FROM kt)) AS complete FROM rk GROUP BY read_idx")
@@ -147,4 +147,4 @@ def ktmer_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walks along the best-supported successor from every kt-mer that begins a read and follows none."""
     e = stored(graph.a_bruijn(nhood.usable(common.creads(spark, sf_dir), 55)).groupBy("src", "dst").agg(F.sum("n_reads").alias("n_reads")))
     heads = e.filter("src = 'head'").select(F.col("dst").alias("node")).join(e.filter("src <> 'head'").select(F.col("dst").alias("node")), "node", "left_anti")
-    return graph.walk(e.filter("src <> 'head'"), heads, 40)
+    return graph.walk(e.filter("src <> 'head'"), heads)

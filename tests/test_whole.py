@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from kmerloom.functions import align
+from kmerloom.operators import graph
 
 
 def dna(rng, n):
@@ -52,3 +53,19 @@ def test_long_pairs_need_little_memory():
     assert align.affine(s, s[50:])[:3] == (8950.0, 8950, 8950)
     assert tracemalloc.get_traced_memory()[1] < 60e6
     tracemalloc.stop()
+
+
+def test_walks_go_on_to_their_end(spark):
+    chain = [(f"n{i}", f"n{i + 1}", 2) for i in range(100)] + [("n5", "side", 1), ("c0", "c1", 1), ("c1", "c2", 1), ("c2", "c1", 1), ("s", "s", 1)]
+    starts = spark.createDataFrame([("n0",), ("n50",), ("c0",), ("s",), ("alone",)], "node string")
+    got = {}
+    for r in graph.walk(spark.createDataFrame(chain, "src string, dst string, n_reads long"), starts).collect():
+        got.setdefault(r.start, []).append((r.n, r.node))
+    want = {"n0": [f"n{i}" for i in range(101)], "n50": [f"n{i}" for i in range(50, 101)], "c0": ["c0", "c1", "c2"], "s": ["s"], "alone": ["alone"]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate(v)) for k, v in want.items()}
+
+
+def test_neighbourhood_is_bounded_by_distance_only(spark):
+    edges = [(f"n{i}", f"n{i + 1}", 20) for i in range(15)]
+    got = graph.bounded_neighbourhood(spark.createDataFrame(edges, "src string, dst string, dist int"), spark.createDataFrame([("n2",)], "node string"), 200).collect()
+    assert {(r.node, r.pos) for r in got} == {(f"n{i}", 20 * (i - 2)) for i in range(13)}
