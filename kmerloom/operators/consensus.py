@@ -32,7 +32,8 @@ def tree_consensus(groups: DataFrame, seed: int = 1129, groups_of: int = 4) -> D
         out, n, ok = consensus_tree(rows.sort_values("rank")["seq"].tolist(), seed, groups=groups_of)
         return pd.DataFrame([(key[0], out, n, ok)], columns=["base", "consensus", "n_support", "accepted"])
 
-    return groups.groupBy("base").applyInPandas(work, "base bigint, consensus string, n_support int, accepted boolean")
+    spread = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism) * 4  # a group is much work and few bytes
+    return groups.repartition(spread, "base").groupBy("base").applyInPandas(work, "base bigint, consensus string, n_support int, accepted boolean")
 
 
 def multi_alignment_consensus(groups: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query("consensus_tree")
 def consensus_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.tree_consensus(_groups(spark, sf_dir), groups_of=1)
+    """Consensus of each neighbourhood from 64 quartets of its reads, 16 groups of 4."""
+    return consensus.tree_consensus(_groups(spark, sf_dir))
 
 
 @REG.query("multi_align_consensus")

@@ -69,3 +69,22 @@ def test_neighbourhood_is_bounded_by_distance_only(spark):
     edges = [(f"n{i}", f"n{i + 1}", 20) for i in range(15)]
     got = graph.bounded_neighbourhood(spark.createDataFrame(edges, "src string, dst string, dist int"), spark.createDataFrame([("n2",)], "node string"), 200).collect()
     assert {(r.node, r.pos) for r in got} == {(f"n{i}", 20 * (i - 2)) for i in range(13)}
+
+
+def test_consensus_draws_sixty_four_quartets(spark, tmp_path, monkeypatch):
+    from kmerloom.plans import align_queries as q
+
+    rng = np.random.default_rng(4)
+    truth = dna(rng, 480)
+    own = {i: "".join("" if rng.random() < 0.02 else c + (dna(rng, 1) if rng.random() < 0.02 else "") for c in truth) for i in range(8)}
+    kts = [f"{'ACGT' * 4}{x}" for x in "ACGT"] + ["CA" * 8]
+    sf = tables(spark, tmp_path, [(i, f">r{i}", x) for i, x in own.items()], [(i, f"r{i}", kts, [1] + [50] * len(kts)) for i in own])
+    got = {r.base: (r.consensus, r.n_support, r.accepted) for r in q.consensus_tree(spark, sf).collect()}
+    groups = {}
+    for r in sorted(q._groups(spark, sf).collect(), key=lambda r: r["rank"]):
+        groups.setdefault(r.base, []).append(r.seq)
+    drawn, four = [], align.sample_of_four
+    monkeypatch.setattr(align, "sample_of_four", lambda *x: drawn.append(set(x) <= set(own.values())) or four(*x))
+    want = {k: align.consensus_tree(v) for k, v in groups.items()}
+    assert len(own) == len(want) and sum(drawn) == 64 * len(own) and got == want
+    assert got != {k: align.consensus_tree(v, groups=1) for k, v in groups.items()}
