@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,24 +126,118 @@ def unitig_strings(paths: DataFrame) -> DataFrame:
     return lists.select("unitig", F.size("l").alias("n_nodes"), F.concat("unitig", tail).alias("seq"))
 
 
-def longest_paths(edges: DataFrame, weight: str, most_rounds: int = ROUNDS) -> DataFrame:
+def longest_paths(edges: DataFrame, weight: str) -> DataFrame:
     """(node, best, n_edges): heaviest path into each node of an acyclic graph; 0 at nodes without an edge in.
 
-    Rounds of relaxation over the nodes that changed; a graph that still changes after
-    most_rounds (a cycle, or a longer path) is an error.
+    Rounds of relaxation over the nodes that changed, until none does. No path of an
+    acyclic graph has as many edges as there are nodes, so a graph that still changes
+    after so many rounds has a cycle, which is an error. See placed_longest_paths for
+    graphs with long paths.
     """
     e = stored(edges.groupBy("src", "dst").agg(F.max(weight).cast("bigint").alias("w")))
     zero = F.lit(0).cast("bigint")
     best = stored(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", zero.alias("best"), zero.alias("n_edges")))
     front = best
-    for _ in range(most_rounds):
+    for _ in range(best.count() + 1):
         found = front.join(e.withColumnRenamed("src", "node"), "node").select(F.col("dst").alias("node"), F.struct((F.col("best") + F.col("w")).alias("best"), (F.col("n_edges") + 1).alias("n_edges")).alias("p")).groupBy("node").agg(F.max("p").alias("p"))
         better = stored(best.join(found, "node").filter("p.best > best").select("node", "p.best", "p.n_edges"))
         if better.isEmpty():
             return best
         best = stored(best.join(better.select("node"), "node", "left_anti").unionByName(better))
         front = better
-    raise RuntimeError(f"still changing after {most_rounds} rounds: a cycle, or raise most_rounds")
+    raise RuntimeError("still changing after as many rounds as there are nodes: a cycle")
+
+
+#: Width of a block of places, and how many blocks of one level make one of the next.
+BLOCK, WIDER = 16_000, 8
+
+
+def _from_gates(edges: pd.DataFrame, gates: list, start: dict) -> dict:
+    """node -> heaviest paths from (start, each gate), -inf where none leads; edges(src, dst, w, at) come in the order of their sources' places."""
+    none = np.full(len(gates) + 1, -np.inf)
+    out = {}
+    for i, g in enumerate(gates, 1):
+        out[g] = none.copy()
+        out[g][i] = 0
+    for n, x in start.items():
+        out.setdefault(n, none.copy())[0] = x
+    for src, dst, w in zip(edges["src"].tolist(), edges["dst"].tolist(), edges["w"].tolist()):
+        if (own := out.get(src)) is not None:
+            old = out.get(dst)
+            out[dst] = own + w if old is None else np.maximum(old, own + w)
+    return out
+
+
+def placed_longest_paths(edges: DataFrame) -> DataFrame:
+    """(node, best): as longest_paths, for bigint edges(src, dst, w, at, to) with the places of both ends, at < to on each.
+
+    Places are cut into blocks. Inside a block, all at once, the heaviest paths from its
+    gates (nodes with an edge from an earlier block) and from anywhere are found; what leaves
+    the block makes edges between gates, which are cut into wider blocks in turn. So
+    the rounds are logarithmic in the length, and a task holds one block.
+    """
+    every = stored(edges.groupBy("src", "dst", "at", "to").agg(F.max("w").cast("bigint").alias("w")))
+    top, low = every.agg(F.max("to"), F.min("at")).first()
+    if top is None:
+        return every.select(F.col("src").alias("node"), F.col("w").alias("best"))
+    begun = stored(every.select(F.explode(F.array(F.struct(F.col("src").alias("node"), "at"), F.struct(F.col("dst").alias("node"), F.col("to").alias("at")))).alias("x")).select("x.node", "x.at").distinct().select("node", "at", F.lit(0).cast("bigint").alias("best")))
+    kinds = "src bigint, dst bigint, at bigint, to bigint, w bigint"
+
+    def rows(e: DataFrame, known: DataFrame, width: int) -> DataFrame:
+        """Edges, and known values as edges without a source, by the block they begin in."""
+        both = e.select("src", "dst", "at", "to", "w").unionByName(known.select(F.lit(None).cast("bigint").alias("src"), F.col("node").alias("dst"), "at", F.col("at").alias("to"), F.col("best").alias("w")))
+        block = lambda x: F.floor((F.col(x) - low) / width)
+        return both.withColumn("block", block("at")).withColumn("leaves", block("to") > block("at"))
+
+    def parts(own: pd.DataFrame) -> tuple:
+        old = own["src"].isna()
+        e = own[~old].sort_values("at", kind="stable").astype({"src": "int64"})
+        return e, dict(zip(own["dst"][old].tolist(), own["w"][old].tolist()))
+
+    def contracted(e: DataFrame, known: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+        """(edges between gates, values known of gates)."""
+        gates = rows(e, known, width).filter("leaves").select(F.col("dst").alias("node"), "to").distinct()
+
+        def work(own: pd.DataFrame) -> pd.DataFrame:
+            gate = own[own["gate"]]
+            e, start = parts(own[~own["gate"]])
+            names = gate["dst"].tolist()
+            at = dict(zip(names, gate["at"].tolist()))
+            of = _from_gates(e[~e["leaves"]], names, start)
+            found: dict = {}
+            for src, dst, to, w in e.loc[e["leaves"], ["src", "dst", "to", "w"]].itertuples(index=False):
+                if (x := of.get(src)) is not None:
+                    old = found.get((dst, to))
+                    found[dst, to] = x + w if old is None else np.maximum(old, x + w)
+            out = [(n, dst, a, to, int(v)) for (dst, to), x in found.items() for n, a, v in zip([None, *names], [to, *(at[g] for g in names)], x.tolist()) if v > -np.inf]
+            return pd.DataFrame(out, columns=["src", "dst", "at", "to", "w"]).astype({"src": "Int64"})
+
+        own = rows(e, known, width).withColumn("gate", F.lit(False))
+        marks = gates.select(F.lit(None).cast("bigint").alias("src"), F.col("node").alias("dst"), F.col("to").alias("at"), "to", F.lit(0).cast("bigint").alias("w"), F.floor((F.col("to") - low) / width).alias("block"), F.lit(False).alias("leaves"), F.lit(True).alias("gate"))
+        made = stored(own.unionByName(marks).groupBy("block").applyInPandas(work, kinds))
+        values = made.filter("src is null").select(F.col("dst").alias("node"), "at", F.col("w").alias("best"))
+        return made.filter("src is not null"), values.groupBy("node", "at").agg(F.max("best").alias("best"))
+
+    def solved(e: DataFrame, known: DataFrame, width: int) -> DataFrame:
+        """(node, best) in each block, from what is known."""
+
+        def work(own: pd.DataFrame) -> pd.DataFrame:
+            e, start = parts(own)
+            at = dict(zip(own["dst"].tolist(), own["to"].tolist()))
+            out = [(n, at[n], int(x[0])) for n, x in _from_gates(e, [], start).items()]
+            return pd.DataFrame(out, columns=["node", "at", "best"]).astype("int64")
+
+        return stored(rows(e, known, width).filter("not leaves").drop("leaves").groupBy("block").applyInPandas(work, "node bigint, at bigint, best bigint"))
+
+    levels, width = [(every, begun, BLOCK)], BLOCK
+    while top - low >= width:
+        e, known = contracted(*levels[-1])
+        levels.append((e, known, width := width * WIDER))
+    best = solved(*levels.pop())
+    while levels:
+        e, known, width = levels.pop()
+        best = solved(e, known.unionByName(best).groupBy("node", "at").agg(F.max("best").alias("best")), width)
+    return best.select("node", "best")
 
 
 def bounded_neighbourhood(edges: DataFrame, seeds: DataFrame, max_dist: int) -> DataFrame:

@@ -93,13 +93,18 @@ def unitig_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unitigs(_edges(spark, sf_dir)).groupBy("unitig").agg(F.count("*").alias("n_nodes"), F.max("ord").alias("diameter"))
 
 
-def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, shift): reads that go on to the right of another by their places, the shift in bases; an acyclic graph."""
+def _placed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, shift, at, to): reads that go on to the right of another by their places, the shift in bases and the begins of both; an acyclic graph."""
     own = table(spark, sf_dir, "creads").filter(F.col("read_id").rlike(r"genome_\d+_\d+")).select("read_idx", F.regexp_extract("read_id", r"genome_(\d+)_", 1).cast("bigint").alias("b"), F.regexp_extract("read_id", r"genome_\d+_(\d+)", 1).cast("bigint").alias("e")).distinct().filter("b < e")
     cut = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("b") / 1000), F.floor((F.col("e") - 1) / 1000))))
     x = cut.select("cell", F.col("read_idx").alias("src"), F.col("b").alias("b1"), F.col("e").alias("e1"))
     y = cut.select("cell", F.col("read_idx").alias("dst"), F.col("b").alias("b2"), F.col("e").alias("e2"))
-    return x.join(y, "cell").filter("b1 < b2 and b2 < e1 and e1 < e2").select("src", "dst", (F.col("e2") - F.col("e1")).alias("shift")).distinct()
+    return x.join(y, "cell").filter("b1 < b2 and b2 < e1 and e1 < e2").select("src", "dst", (F.col("e2") - F.col("e1")).alias("shift"), F.col("b1").alias("at"), F.col("b2").alias("to")).distinct()
+
+
+def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, shift) of the overlaps."""
+    return _placed_overlaps(spark, sf_dir).select("src", "dst", "shift").distinct()
 
 
 _OV = """g AS (SELECT DISTINCT read_idx, CAST(regexp_extract(read_id, 'genome_(\\d+)_', 1) AS BIGINT) AS b, CAST(regexp_extract(read_id, 'genome_\\d+_(\\d+)', 1) AS BIGINT) AS e FROM creads WHERE regexp_matches(read_id, 'genome_\\d+_\\d+')
@@ -114,7 +119,7 @@ def overlap_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("longest_paths", f"WITH RECURSIVE {_OV}, n AS (SELECT src AS node FROM ov UNION SELECT dst FROM ov), r(node, best) AS (SELECT node, CAST(0 AS BIGINT) FROM n UNION SELECT dst, best + shift FROM r JOIN ov ON src = node) SELECT node, max(best) AS best FROM r GROUP BY node")
 def longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the reads' overlaps reach to the right of the first read of their path."""
-    return graph.longest_paths(overlap_edges(spark, sf_dir), "shift", 400).select("node", "best")
+    return graph.placed_longest_paths(_placed_overlaps(spark, sf_dir).withColumnRenamed("shift", "w"))
 
 
 @REG.query("overlap_report")

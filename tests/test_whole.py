@@ -88,3 +88,18 @@ def test_consensus_draws_sixty_four_quartets(spark, tmp_path, monkeypatch):
     want = {k: align.consensus_tree(v) for k, v in groups.items()}
     assert len(own) == len(want) and sum(drawn) == 64 * len(own) and got == want
     assert got != {k: align.consensus_tree(v, groups=1) for k, v in groups.items()}
+
+
+def test_longest_paths_of_many_reads(spark, tmp_path):
+    from kmerloom.plans import graph_queries as q
+
+    rng = np.random.default_rng(5)
+    begins = np.r_[np.arange(0, 300_000, 500), rng.integers(0, 300_000, 300)].tolist() + [900_000, 900_400]
+    reads = {i: (b, b + int(rng.integers(520, 900))) for i, b in enumerate(begins)}
+    creads = [(i, f"r/genome_{b}_{e}", None, None) for i, (b, e) in reads.items()]
+    want, order = {}, sorted(reads, key=lambda i: reads[i])
+    edges = [(i, j) for n, i in enumerate(order) for j in order[n + 1 : n + 20] if reads[i][0] < reads[j][0] < reads[i][1] < reads[j][1]]
+    for i, j in edges:
+        want[j] = max(want.get(j, 0), want.setdefault(i, 0) + reads[j][1] - reads[i][1])
+    sf = tables(spark, tmp_path, [(0, "", "")], creads)
+    assert {r.node: r.best for r in q.longest_paths(spark, sf).collect()} == want and max(want.values()) > 290_000
