@@ -234,16 +234,32 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y) for x, y in zip(*codes)], dtype="int64")
 
 
+def merged(read_a: np.ndarray, read_b: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The same columns, sorted, with matches of two records on one diagonal that overlap or touch made one."""
+    if not len(a):
+        return [read_a, read_b, a, b, size]
+    order = np.lexsort((a, a - b, read_b, read_a))
+    read_a, read_b, a, b, size = (x[order] for x in (read_a, read_b, a, b, size))
+    other = np.r_[True, (read_a[1:] != read_a[:-1]) | (read_b[1:] != read_b[:-1]) | (a[1:] - b[1:] != a[:-1] - b[:-1])]
+    ahead = np.cumsum(other) * (int((a + size).max()) + 1)  # ends of one diagonal lie beyond those of all before
+    reach = np.maximum.accumulate(ahead + a + size)
+    begins = np.flatnonzero(other | np.r_[True, (ahead + a)[1:] > reach[:-1]])
+    ends = (reach - ahead)[np.r_[begins[1:], len(a)] - 1]
+    cols = [x[begins] for x in (read_a, read_b, a, b)] + [ends - a[begins]]
+    order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
+    return [x[order] for x in cols]
+
+
 _MATCH = "read_a bigint, read_b bigint, a_beg bigint, b_beg bigint, size bigint, chain int, score double"
 _LINKS = ["matched", "a_from", "a_to", "b_from", "b_to"]
 
 
 def _chained(gap_cost: float, links: bool = False):
-    """Adds the chain and its score, and the links if asked for, to matches that come sorted by the two records and the places."""
+    """Merges the matches of a diagonal and adds the chain and its score, and the links if asked for; matches come sorted by the two records."""
     names = ["read_a", "read_b", "a_beg", "b_beg", "size"]
 
     def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-        read_a, read_b, a, b, size = cols
+        read_a, read_b, a, b, size = cols = merged(*cols)
         begins = np.flatnonzero(np.r_[len(read_a) > 0, (read_a[1:] != read_a[:-1]) | (read_b[1:] != read_b[:-1])])
         ends = np.r_[begins[1:], len(read_a)]
         chain, score = np.zeros(len(read_a), np.int32), size.astype(float)
@@ -324,7 +340,7 @@ class SharedSpans:
         grown = pairs.mapInArrow(_extended(self.span, self.seed), "read_a bigint, read_b bigint, a_beg bigint, b_beg bigint, size bigint").distinct()
         return (
             grown.repartition("read_a", "read_b")
-            .sortWithinPartitions("read_a", "read_b", "a_beg", "b_beg")
+            .sortWithinPartitions("read_a", "read_b")
             .mapInArrow(_chained(GAP_COST, links), _MATCH + "".join(f", {x} bigint" for x in _LINKS if links))
         )
 
