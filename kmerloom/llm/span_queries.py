@@ -49,3 +49,13 @@ def p2_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("p2_passages")
 def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).passages()
+
+
+@REG.query(
+    "p2_copies",
+    f"""WITH one AS (SELECT read_idx AS read, upper(any_value(seq)) AS s FROM fasta_reads WHERE read_idx IS NOT NULL GROUP BY read_idx)
+SELECT read, class_id FROM (SELECT read, min(read) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS n FROM one WHERE length(s) >= {SPAN}) WHERE n > 1""",
+)
+def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every read whose sequence others have too; p2_passages names the class by its least read."""
+    return _shared(spark, sf_dir).copies

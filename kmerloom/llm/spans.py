@@ -27,6 +27,8 @@ from kmerloom.session import broadcast_if_small, one_row_per_key, stored
 SEED = 50
 #: Places of one seed up to which they are joined with each other; beyond it the stretches around them are counted instead.
 JOINED = 32
+#: Places of one seed that a task joins with all others.
+PART = 1024
 GAP_COST = 0.05
 SLICE = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -331,12 +333,17 @@ class SharedSpans:
             .select("read", "x.seed", "x.pos", "x.places", F.expr(f"substring(padded, cast(x.pos as int) + 1, {width})").alias("around"))
         )
 
-    def matches(self, links: bool = False) -> DataFrame:
-        """(read_a, read_b, a_beg, b_beg, size, chain, score): exact matches around shared seeds, in chains; with `links` also the columns of linked."""
-        few = self.anchors.filter(F.col("places") <= self.joined)
-        a = few.select("seed", F.col("read").alias("read_a"), F.col("pos").alias("pos_a"), F.col("around").alias("around_a"))
-        b = few.select("seed", F.col("read").alias("read_b"), F.col("pos").alias("pos_b"), F.col("around").alias("around_b"))
-        pairs = a.join(b, "seed").filter("read_a < read_b").select("read_a", "pos_a", "read_b", "pos_b", "around_a", "around_b")
+    def matches(self, links: bool = False, every: bool = False) -> DataFrame:
+        """(read_a, read_b, a_beg, b_beg, size, chain, score): exact matches around shared seeds, in chains; with `links` also the columns of linked.
+
+        Seeds with more than `joined` places are left out unless `every` asks for them;
+        the places of one with more than PART are dealt to several tasks.
+        """
+        own = self.anchors if every else self.anchors.filter(F.col("places") <= self.joined)
+        parts = F.ceil(F.col("places") / PART).cast("int")
+        a = own.select("seed", F.pmod(F.hash("read", "pos"), parts).alias("part"), F.col("read").alias("read_a"), F.col("pos").alias("pos_a"), F.col("around").alias("around_a"))
+        b = own.select("seed", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("read").alias("read_b"), F.col("pos").alias("pos_b"), F.col("around").alias("around_b"))
+        pairs = a.join(b, ["seed", "part"]).filter("read_a < read_b").select("read_a", "pos_a", "read_b", "pos_b", "around_a", "around_b")
         grown = pairs.mapInArrow(_extended(self.span, self.seed), "read_a bigint, read_b bigint, a_beg bigint, b_beg bigint, size bigint").distinct()
         return (
             grown.repartition("read_a", "read_b")
@@ -347,11 +354,12 @@ class SharedSpans:
     def passages(self) -> DataFrame:
         """(read_a, read_b, a_beg, a_end, b_beg, b_end, n_matches, longest_match, score, n_equal, n_edits, identity): the chains of two classes, aligned.
 
+        All seeds are joined, so a stretch that n classes hold makes n * (n - 1) / 2 passages.
         Only the parts between the matches of a chain are cut out of the sequences and
         aligned; a part that one record lacks needs no sequence. `identity` is the share
         of equal bases among these and the edits.
         """
-        chained = stored(self.matches(True))
+        chained = stored(self.matches(True, True))
         keys = ["read_a", "read_b", "chain"]
         gap_a, gap_b = F.col("a_to") - F.col("a_from"), F.col("b_to") - F.col("b_from")
         both = (gap_a > 0) & (gap_b > 0)

@@ -22,3 +22,16 @@ def test_long_matches_are_one(spark):
     rows = [(1, "A" + s + "A" + t), (2, "CC" + s + "C" + t)]
     r = shared_spans(spark.createDataFrame(rows, "k bigint, seq string"), "k", "seq", 100).passages().collect()
     assert [(x.n_matches, x.longest_match, x.a_beg, x.b_beg, x.n_equal, x.n_edits) for x in r] == [(2, 600, 1, 2, 900, 1)]
+
+
+def test_passages_of_a_hot_stretch(spark, monkeypatch):
+    from kmerloom.llm import spans
+
+    monkeypatch.setattr(spans, "PART", 7)
+    rng = np.random.default_rng(2)
+    hot = dna(rng, 130)
+    rows = [(i, dna(rng, i % 5) + "ACGT"[i % 4] + hot + dna(rng, 60)) for i in range(40)] + [(50, hot.lower() + "N"), (51, hot + "n")]
+    own = shared_spans(spark.createDataFrame(rows, "k bigint, seq string"), "k", "seq", 100)
+    got = [(r.read_a, r.read_b, r.longest_match) for r in own.passages().collect()]
+    assert len(got) == 41 * 40 // 2 and len({x[:2] for x in got}) == len(got) and min(x[2] for x in got) >= 130
+    assert sorted(map(tuple, own.copies.collect())) == [(50, 50), (51, 50)]
