@@ -46,6 +46,20 @@ def p2_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.join(spans, "read", "left").select(F.col("read").alias("read_idx"), "n_bases", n.alias("n_shared"), F.round(n / F.col("n_bases"), 6).alias("share"))
 
 
+@REG.query(
+    "p2_matches",
+    f"""WITH one AS (SELECT read_idx, upper(any_value(seq)) AS s FROM fasta_reads WHERE read_idx IS NOT NULL GROUP BY read_idx
+), class AS (SELECT min(read_idx) AS r, s FROM one WHERE length(s) >= {SPAN} GROUP BY s
+), w AS (SELECT r, p, substr(s, p + 1, {SPAN}) AS x FROM (SELECT r, s, unnest(range(CAST(length(s) AS BIGINT) - {SPAN - 1})) AS p FROM class)
+), pair AS (SELECT a.r AS read_a, b.r AS read_b, a.p AS p, b.p - a.p AS d FROM w a JOIN w b USING (x) WHERE a.r < b.r AND NOT regexp_matches(x, '[^ACGT]')
+), isle AS (SELECT *, p - row_number() OVER (PARTITION BY read_a, read_b, d ORDER BY p) AS i FROM pair)
+SELECT read_a, read_b, min(p) AS a_beg, min(p) + d AS b_beg, max(p) - min(p) + {SPAN} AS size FROM isle GROUP BY read_a, read_b, d, i""",
+)
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact matches of a span or more between any two different sequences; the passages are chains of these and shorter ones."""
+    return _shared(spark, sf_dir).matches().filter(F.col("size") >= SPAN).select("read_a", "read_b", "a_beg", "b_beg", "size")
+
+
 @REG.query("p2_passages")
 def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir).passages()

@@ -10,7 +10,7 @@ passage with its number of edits; the exact spans are the long matches in the ch
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +25,15 @@ from kmerloom.operators.intervals import periods_and_gaps
 from kmerloom.session import broadcast_if_small, one_row_per_key, stored
 
 SEED = 50
-#: Places of one seed up to which they are joined with each other; beyond it the stretches around them are counted instead.
+#: Places of one seed up to which all are joined with each other to find spans; beyond it every stretch is joined with one place of another record.
 JOINED = 32
 #: Places of one seed that a task joins with all others.
 PART = 1024
 GAP_COST = 0.05
+#: Bases by which two matches of a chain may overlap; they count once.
+OVERLAP = 25
+#: Half of the first band that two parts are aligned in.
+BAND = 32
 SLICE = 1 << 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -90,8 +94,8 @@ def _separated(offsets: np.ndarray, data: np.ndarray, lo: int, hi: int) -> tuple
     return np.insert(BASE_CODES[data[offsets[lo] : offsets[hi]]], bounds[1:], UNCALLED), bounds + np.arange(hi - lo + 1)
 
 
-def _over_reads(find, names: list[str]):
-    """A mapInArrow function: find(codes) gives places and further columns, which are put beside the read and the place in it."""
+def _over_reads(find, names: list[str], keep: int | None = None):
+    """A mapInArrow function: find(codes) gives places and further columns, which are put beside the read, the place in it, and the column number `keep`."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +104,11 @@ def _over_reads(find, names: list[str]):
                 codes, bounds = _separated(offsets, data, lo, hi)
                 at, *more = find(codes)
                 row = np.searchsorted(bounds, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(at - bounds[row]), *(pa.array(x.astype(np.int64)) for x in more)], ["read", "pos", *names])
+                rows = pa.array(row + lo)
+                kept = [] if keep is None else [batch.column(keep).take(rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), pa.array(at - bounds[row]), *(pa.array(x.astype(np.int64)) for x in more), *kept], ["read", "pos", *names, *([] if keep is None else [batch.schema.names[keep]])]
+                )
 
     return work
 
@@ -163,38 +171,48 @@ class FenwickMax:
 def chains(a: list[int], b: list[int], size: list[int], gap_cost: float) -> tuple[list[int], list[float]]:
     """(chain of each match, score of each chain) for the matches of two records in order of a, then b.
 
-    A match goes on from an earlier one that begins before it in both records; the
-    score is the sum of sizes less gap_cost for every base from begin to begin, in
-    both. Every match is in one chain.
+    A match goes on from an earlier one that ends before it in both records; the two
+    may overlap by up to OVERLAP bases, which count once. The score is the number of
+    matched bases less gap_cost for every base between the matches, in both records.
+    A part of a chain that would add less than it costs stands alone, so a chain
+    scores at least the size of each of its matches. Every match is in one chain.
     """
     n = len(a)
-    ranks = sorted(set(b))
+    over = min(OVERLAP, min(size, default=0) // 2)
+    end_a, end_b = [x + s for x, s in zip(a, size)], [x + s for x, s in zip(b, size)]
+    ranks = sorted(set(end_b))
     tree = FenwickMax(len(ranks))
-    score, before = [0.0] * n, [-1] * n
-    i = 0
-    while i < n:
-        j = i
-        while j < n and a[j] == a[i]:  # equal begins can't follow one another
-            best, of = tree.before(bisect_left(ranks, b[j]))
-            gain = best - gap_cost * (a[j] + b[j])
-            score[j] = size[j] + max(0.0, gain)
-            if gain > 0:
-                before[j] = of
-            j += 1
-        for x in range(i, j):
-            tree.put(bisect_left(ranks, b[x]), score[x] + gap_cost * (a[x] + b[x]), x)
-        i = j
+    by_end = sorted(range(n), key=lambda x: (end_a[x], x))
+    score, cost, before = [0.0] * n, [0.0] * n, [-1] * n
+    done = 0
+    for i in range(n):
+        while done < n and end_a[by_end[done]] <= a[i] + over:  # such a match begins before i, so its score is settled
+            j = by_end[done]
+            tree.put(bisect_left(ranks, end_b[j]), score[j] + gap_cost * (end_a[j] + end_b[j]), j)
+            done += 1
+        score[i] = size[i]
+        j = tree.before(bisect_right(ranks, b[i] + over))[1]
+        if j >= 0:
+            gaps = (a[i] - end_a[j], b[i] - end_b[j])
+            price = max(0, -min(gaps)) + gap_cost * sum(max(0, g) for g in gaps)
+            if score[j] > price:
+                score[i], cost[i], before[i] = size[i] + score[j] - price, price, j
     chain, scores = [-1] * n, []
     for x in sorted(range(n), key=lambda x: (-score[x], x)):
-        if chain[x] < 0:
-            base = 0.0
-            y = x
-            while y >= 0 and chain[y] < 0:
-                chain[y] = len(scores)
-                y = before[y]
-            if y >= 0:
-                base = score[y]
-            scores.append(score[x] - base)
+        path = []
+        while x >= 0 and chain[x] < 0:
+            chain[x] = 0  # taken
+            path.append(x)
+            x = before[x]
+        running = 0.0
+        for i in reversed(path):
+            running = running - cost[i] if i != path[-1] else 0.0
+            if running <= 0:
+                running = 0.0
+                scores.append(0.0)
+            running += size[i]
+            chain[i] = len(scores) - 1
+            scores[-1] = max(scores[-1], running)
     return chain, scores
 
 
@@ -217,17 +235,39 @@ def linked(a: list[int], b: list[int], size: list[int], chain: list[int]) -> lis
     return out
 
 
+def _edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edits from a to b (b not the shorter) over alignments that leave the diagonal by `most` places at most; exact if the result is `most` or less."""
+    far = len(a) + len(b) + 1
+    diagonals = np.arange(-most, len(b) - len(a) + most + 1)
+    row = np.where(diagonals >= 0, diagonals, far)  # row 0: the place in b is the diagonal
+    steps = np.arange(len(diagonals))
+    padded = np.r_[np.full(most, 255, np.uint8), b, np.full(most + 1, 255, np.uint8)]
+    for i, x in enumerate(a):
+        other = padded[i : i + len(diagonals)]
+        now = row + ((other != x) | (x == UNCALLED))  # the place in b is i + diagonal
+        now[:-1] = np.minimum(now[:-1], row[1:] + 1)
+        here = i + 1 + diagonals
+        now[(here < 0) | (here > len(b))] = far
+        row = np.minimum.accumulate(now - steps) + steps
+    return int(row[len(b) - len(a) + most])
+
+
 def edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Least number of substitutions, insertions and deletions from a to b; an uncalled base equals none."""
+    """Least number of substitutions, insertions and deletions from a to b; an uncalled base equals none.
+
+    A band around the diagonal is doubled until the result lies within it, so the
+    work is the length times the edits.
+    """
     if len(a) > len(b):
         a, b = b, a
-    places = np.arange(len(b) + 1)
-    row = places
-    for x in a:
-        now = row + 1
-        now[1:] = np.minimum(now[1:], row[:-1] + ((b != x) | (x == UNCALLED)))
-        row = np.minimum.accumulate(now - places) + places
-    return int(row[-1])
+    if not len(a):
+        return len(b)
+    most = BAND
+    while True:
+        found = _edits_within(a, b, most)
+        if found <= most or most >= len(b):
+            return found
+        most *= 2
 
 
 @F.pandas_udf(LongType())
@@ -333,24 +373,54 @@ class SharedSpans:
             .select("read", "x.seed", "x.pos", "x.places", F.expr(f"substring(padded, cast(x.pos as int) + 1, {width})").alias("around"))
         )
 
-    def matches(self, links: bool = False, every: bool = False) -> DataFrame:
-        """(read_a, read_b, a_beg, b_beg, size, chain, score): exact matches around shared seeds, in chains; with `links` also the columns of linked.
+    def _joined(self, own: DataFrame) -> DataFrame:
+        """(read_a, read_b, a_beg, b_beg, size): exact matches around the seeds of `own`, every place joined with every other.
 
-        Seeds with more than `joined` places are left out unless `every` asks for them;
-        the places of one with more than PART are dealt to several tasks.
+        The places of a seed with more than PART are dealt to several tasks.
         """
-        own = self.anchors if every else self.anchors.filter(F.col("places") <= self.joined)
         parts = F.ceil(F.col("places") / PART).cast("int")
         a = own.select("seed", F.pmod(F.hash("read", "pos"), parts).alias("part"), F.col("read").alias("read_a"), F.col("pos").alias("pos_a"), F.col("around").alias("around_a"))
         b = own.select("seed", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("read").alias("read_b"), F.col("pos").alias("pos_b"), F.col("around").alias("around_b"))
         pairs = a.join(b, ["seed", "part"]).filter("read_a < read_b").select("read_a", "pos_a", "read_b", "pos_b", "around_a", "around_b")
-        grown = pairs.mapInArrow(_extended(self.span, self.seed), "read_a bigint, read_b bigint, a_beg bigint, b_beg bigint, size bigint").distinct()
+        return pairs.mapInArrow(_extended(self.span, self.seed), "read_a bigint, read_b bigint, a_beg bigint, b_beg bigint, size bigint").distinct()
+
+    def _chains(self, matches: DataFrame, links: bool = False) -> DataFrame:
         return (
-            grown.repartition("read_a", "read_b")
+            matches.repartition("read_a", "read_b")
             .sortWithinPartitions("read_a", "read_b")
             .mapInArrow(_chained(GAP_COST, links), _MATCH + "".join(f", {x} bigint" for x in _LINKS if links))
         )
 
+    def matches(self, links: bool = False) -> DataFrame:
+        """(read_a, read_b, a_beg, b_beg, size, chain, score): the exact matches of all pairs of classes, in chains; with `links` also the columns of linked.
+
+        A stretch that n classes hold makes n * (n - 1) / 2 matches.
+        """
+        return self._chains(self._joined(self.anchors), links)
+
+    def spanning(self) -> DataFrame:
+        """Matches in chains that cover every shared place of every record, as few as do.
+
+        Seeds with up to `joined` places are joined with each other. Of the others every
+        stretch is joined with one place of it in another record, so that a stretch that
+        n records hold makes n matches. Records with one and the same sequence are joined
+        with the least of them.
+        """
+        span = self.span
+
+        def find(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return called_stretches(codes, span)
+
+        members = self.copies.filter("read <> class_id")
+        copied = (
+            self.rows.join(broadcast_if_small(members), "read")
+            .select("read", "seq", "class_id")
+            .mapInArrow(_over_reads(find, ["size"], 2), "read bigint, pos bigint, size bigint, class_id bigint")
+            .select(F.col("class_id").alias("read_a"), F.col("read").alias("read_b"), F.col("pos").alias("a_beg"), F.col("pos").alias("b_beg"), "size")
+        )
+        few = self._joined(self.anchors.filter(F.col("places") <= self.joined))
+        return self._chains(few.unionByName(self._starred()).unionByName(copied))
+
     def passages(self) -> DataFrame:
         """(read_a, read_b, a_beg, a_end, b_beg, b_end, n_matches, longest_match, score, n_equal, n_edits, identity): the chains of two classes, aligned.
 
@@ -359,7 +429,7 @@ class SharedSpans:
         aligned; a part that one record lacks needs no sequence. `identity` is the share
         of equal bases among these and the edits.
         """
-        chained = stored(self.matches(True, True))
+        chained = stored(self.matches(True))
         keys = ["read_a", "read_b", "chain"]
         gap_a, gap_b = F.col("a_to") - F.col("a_from"), F.col("b_to") - F.col("b_from")
         both = (gap_a > 0) & (gap_b > 0)
@@ -388,8 +458,8 @@ class SharedSpans:
         )
         return found.drop("chain").withColumn("identity", F.round(F.col("n_equal") / (F.col("n_equal") + F.col("n_edits")), 6))
 
-    def _frequent(self) -> DataFrame:
-        """Spans around seeds with more places than are joined: their stretches are counted by hash, no pairs are made."""
+    def _starred(self) -> DataFrame:
+        """Matches of one span around seeds with more than `joined` places: each place of a stretch with the least one of it, those in its record with the greatest."""
         span, k = self.span, self.seed
         side, width = span - k, 2 * span - k
 
@@ -409,26 +479,26 @@ class SharedSpans:
 
         many = self.anchors.filter(F.col("places") > self.joined).select("read", "pos", "around")
         stretches = stored(many.mapInArrow(work, "read bigint, beg bigint, h1 bigint, h2 bigint").distinct())
-        shared = stretches.groupBy("h1", "h2").agg(F.min("read").alias("lo"), F.max("read").alias("hi")).filter("lo <> hi").select("h1", "h2")
-        return stretches.join(shared, ["h1", "h2"]).select("read", "beg", (F.col("beg") + span).alias("end"))
+        place = F.struct("read", "beg")
+        ends = stretches.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.read <> hi.read")
+        other = F.when(F.col("read") == F.col("lo.read"), F.col("hi")).otherwise(F.col("lo"))
+        both = stretches.join(ends, ["h1", "h2"]).select("read", "beg", other.alias("other"))
+        first = F.col("read") < F.col("other.read")
+        a, b = (F.when(x, place).otherwise(F.col("other")) for x in (first, ~first))
+        return both.select(a.alias("a"), b.alias("b")).select(
+            F.col("a.read").alias("read_a"), F.col("b.read").alias("read_b"), F.col("a.beg").alias("a_beg"), F.col("b.beg").alias("b_beg"), F.lit(span).cast("bigint").alias("size")
+        )
 
     def spans(self) -> DataFrame:
-        """(read, span_beg, span_end): the maximal stretches of shared places of every record."""
-        span = self.span
+        """(read, span_beg, span_end): the maximal stretches of shared places of every record.
 
-        def find(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return called_stretches(codes, span)
-
-        long = self.matches().filter(F.col("size") >= span)
+        Chains with a score below the span can hold no such stretch; of the others the
+        matches that are long enough are the spans (what lies between the matches of a
+        chain differs within every span), and spans that touch are put together.
+        """
+        long = self.spanning().filter((F.col("score") >= self.span) & (F.col("size") >= self.span))
         sides = [F.struct(F.col(f"read_{x}").alias("read"), F.col(f"{x}_beg").alias("beg"), (F.col(f"{x}_beg") + F.col("size")).alias("end")) for x in "ab"]
-        chained = long.select(F.explode(F.array(*sides)).alias("s")).select("s.read", "s.beg", "s.end")
-        copied = (
-            self.rows.join(broadcast_if_small(self.copies.select("read")), "read", "left_semi")
-            .select("read", "seq")
-            .mapInArrow(_over_reads(find, ["size"]), "read bigint, pos bigint, size bigint")
-            .select("read", F.col("pos").alias("beg"), (F.col("pos") + F.col("size")).alias("end"))
-        )
-        every = chained.unionByName(self._frequent()).unionByName(copied)
+        every = long.select(F.explode(F.array(*sides)).alias("s")).select("s.read", "s.beg", "s.end")
         return periods_and_gaps(every, "read", "beg", "end").filter("kind = 'period'").select(F.col("entity").alias("read"), F.col("beg").alias("span_beg"), F.col("end").alias("span_end"))
 
 

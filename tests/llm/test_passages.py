@@ -35,3 +35,11 @@ def test_passages_of_a_hot_stretch(spark, monkeypatch):
     got = [(r.read_a, r.read_b, r.longest_match) for r in own.passages().collect()]
     assert len(got) == 41 * 40 // 2 and len({x[:2] for x in got}) == len(got) and min(x[2] for x in got) >= 130
     assert sorted(map(tuple, own.copies.collect())) == [(50, 50), (51, 50)]
+
+
+def test_one_stretch_is_one_passage(spark):
+    rng = np.random.default_rng(3)
+    s = dna(rng, 1000)
+    rows = [(1, dna(rng, 50) + s + dna(rng, 40)), (2, dna(rng, 50) + s + dna(rng, 70))]
+    (r,) = shared_spans(spark.createDataFrame(rows, "k bigint, seq string"), "k", "seq", 100).passages().collect()
+    assert r.n_matches == 1 and r.longest_match >= 1000 and r.n_edits == 0 and abs(r.score - r.longest_match) < 1e-9

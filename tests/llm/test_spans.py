@@ -85,7 +85,40 @@ def test_equal_stretches_have_equal_seeds():
 def test_chains_keep_the_order_and_every_match():
     chain, scores = chains([0, 10, 20, 30], [0, 10, 500, 30], [15, 15, 15, 15], 0.05)
     assert chain[0] == chain[1] == chain[3] != chain[2] and min(chain) >= 0
-    assert len(scores) == 2 and max(scores) > 40
+    assert sorted(scores) == [15.0, 39.5]  # 40 bases are matched, overlaps once, and 10 lie between matches
+
+
+def best_chain(a, b, size, cost, over):
+    score = []
+    for i in range(len(a)):
+        top = 0.0
+        for j in range(len(a)):
+            gaps = (a[i] - a[j] - size[j], b[i] - b[j] - size[j])
+            if min(gaps) >= -over and a[j] < a[i]:
+                top = max(top, score[j] - cost * sum(max(0, g) for g in gaps) - max(0, -min(gaps)))
+        score.append(size[i] + top)
+    return max(score)
+
+
+def test_chains_against_all_predecessors():
+    rng = np.random.default_rng(6)
+    for _ in range(80):
+        n = int(rng.integers(1, 12))
+        rows = sorted({(int(rng.integers(0, 300)), int(rng.integers(0, 300))) for _ in range(n)})
+        a, b = (list(x) for x in zip(*rows))
+        size = rng.integers(20, 60, len(a)).tolist()
+        chain, scores = chains(a, b, size, 0.05)
+        assert min(chain) >= 0 and all(scores[c] >= s for c, s in zip(chain, size))
+        assert max(scores) <= best_chain(a, b, size, 0.05, min(25, min(size) // 2)) + 1e-9
+        small = [1] * len(a)  # no overlaps are possible: the tree's choice is the best one
+        assert abs(max(chains(a, b, small, 0.001)[1]) - best_chain(a, b, small, 0.001, 0)) < 1e-9
+
+
+def test_overlaps_count_once():
+    chain, scores = chains([0, 90], [0, 95], [100, 100], 0.05)
+    assert chain == [0, 0] and abs(scores[0] - 190) < 1e-9
+    chain, scores = chains([0, 30], [0, 40], [100, 100], 0.05)
+    assert len(scores) == 2 and scores == [100, 100]
 
 
 def plain_edits(a, b):
@@ -103,6 +136,9 @@ def test_edits_against_a_plain_table():
     for _ in range(60):
         a, b = ("".join(rng.choice(list("ACGTN"), int(rng.integers(0, 15)))) for _ in range(2))
         assert edits(*(BASE_CODES[np.frombuffer(x.encode(), np.uint8)] for x in (a, b))) == plain_edits(a, b)
+    for n, m in ((200, 90), (150, 150), (0, 70), (130, 260)):
+        a, b = ("".join(rng.choice(list("ACGTN"), x)) for x in (n, m))
+        assert edits(*(BASE_CODES[np.frombuffer(x.encode(), np.uint8)] for x in (a, b))) == plain_edits(a, b)
 
 
 def test_links_cut_overlaps_and_leave_gaps():
