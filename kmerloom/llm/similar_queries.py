@@ -26,8 +26,8 @@ def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides in one table: the side is the lowest bit of the key and part of each member."""
     reads = one_row_per_key(table(spark, sf_dir, "creads").select("read_idx", "ktmers"), "read_idx")
     lines = table(spark, sf_dir, "ktmer_headers").select("line_no", "headers")
-    one = reads.select((F.col("read_idx") * 2).alias("key"), F.transform("ktmers", lambda x: F.when(x.isNotNull(), F.xxhash64(x))).alias("members"))
-    two = lines.select((F.col("line_no") * 2 + 1).alias("key"), F.transform("headers", lambda x: F.when(x.isNotNull(), F.xxhash64(F.regexp_replace(x, "^>", ""), F.lit(1)))).alias("members"))
+    one = reads.select((F.col("read_idx") * 2).alias("key"), F.transform("ktmers", lambda x: F.concat(F.lit("k"), x)).alias("members"))
+    two = lines.select((F.col("line_no") * 2 + 1).alias("key"), F.transform("headers", lambda x: F.concat(F.lit("h"), F.regexp_replace(x, "^>", ""))).alias("members"))
     return one.unionByName(two)
 
 
@@ -55,7 +55,7 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _sets(spark, sf_dir)
     pairs, copies = similar_sets(sets, "key", "members", THRESHOLD, MIN_SIZE)
     ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    own = F.size(F.array_distinct(F.filter(F.coalesce("members", F.array().cast("array<bigint>")), lambda x: x.isNotNull())))
+    own = F.size(F.array_distinct(F.filter(F.coalesce("members", F.array().cast("array<string>")), lambda x: x.isNotNull())))
     keys = sets.filter(own >= MIN_SIZE).select("key")
     classed = keys.join(copies, "key", "left").select("key", F.coalesce("id", "key").alias("id")).join(ends, "id", "left")
     return classed.select(_side("key"), F.shiftright("key", 1).alias("key"), F.shiftright("id", 1).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
