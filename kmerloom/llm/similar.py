@@ -92,7 +92,7 @@ def similar_sets(df: DataFrame, key: str, members: str, threshold: float, min_si
     rows = rows.withColumns({"h1": F.xxhash64("members"), "h2": F.xxhash64(F.reverse("members"), F.lit(1))})
     classes = rows.groupBy("h1", "h2").agg(F.min("key").alias("id"), F.min_by("members", "key").alias("members"), F.count("*").alias("n_copies"))
     classes = stored(classes)
-    copies = rows.select("key", "h1", "h2").join(classes.filter("n_copies > 1").select("h1", "h2", "id", "n_copies"), ["h1", "h2"]).select("id", "key", "n_copies")
+    copies = stored(rows.select("key", "h1", "h2").join(classes.filter("n_copies > 1").select("h1", "h2", "id", "n_copies"), ["h1", "h2"]).select("id", "key", "n_copies"))
 
     n_sets = max(1, classes.count())
     reach = F.size("members") - _ceil_part(F.size("members"), part) + 1
