@@ -1,30 +1,37 @@
 """Problem 9: subject areas of documents, by labels that spread over a similarity graph.
 
-Sentences are the nodes. Two sentences are neighbours if they share a verified term,
-one whose sentences lean to a subject far beyond chance for their language; the graph
-is kept in this factored form (sentence - term), so no group of sentences with one
-term is ever turned into pairs. Labels given by hand are the seeds: their documents
-are clamped to them (in the last round only those of annotators who agree). A round joins the sentences with the terms' weights, gives each
-sentence a share in every subject from its terms and its document, and sums the
-shares again by document and by term. A document may keep several subjects.
+Passages (sentences, and the agenda item) are compared by their content terms, those
+that lean to a subject far beyond chance for their language. Passages with equal sets
+of them are one node; nodes whose sets overlap by half or more are neighbours, every
+overlap verified by the similarity join of problem 5. Labels given by hand are the
+seeds: the passages of a labelled document are clamped to its subjects (at the end
+only of those whose annotators agree). A round sums the shares of the passages by
+node, sends them along the edges, and sums the nodes' shares by document; documents
+that were reached pass theirs on in the next round. A document keeps every subject
+that enough of its sentences speak about. The graph is built GRAPHS times, each time
+with terms chosen by what the last one gave, and spread over from the seeds anew.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.session import broadcast_if_small, stored
+from kmerloom.llm.similar import similar_sets
+from kmerloom.session import broadcast_if_small, numbered, stored
 
 #: Subjects that the columns of a run may spread over.
 MOST_SUBJECTS = 200
-ROUNDS = 7
+#: Graphs that are built one after another, and rounds over each.
+GRAPHS, ROUNDS = 2, 2
+#: Least overlap (common terms by all terms) of neighbours, share that a node takes over from them, steps of it in a round.
+SIMILAR, BETA, HOPS = 0.5, 0.8, 2
+#: Weight of the corpus's shares in those of a node and of a document.
+NODE_PRIOR, DOCUMENT_PRIOR = 0.05, 0.5
+#: Share of no subject at all in a document with subjects; share of a document's passages that must be reached for its terms to count.
+PLAIN, HEARD = 0.05, 0.3
 #: Likelihood ratio (G) beyond which a term's lean to a subject is verified; least odds ratio and share of the subject.
 VERIFIED_G, VERIFIED_ODDS, VERIFIED_SHARE = 12.0, 3.0, 0.25
-#: A term in so many seeds that leans to no subject by more than this lift is neutral.
-NEUTRAL_SEEDS, NEUTRAL_LIFT = 50, 1.5
 #: Sentences with a word beside which sentences rarely agree with their document (comparisons, asides) don't count.
 AGREEMENT, AGREEMENT_SENTENCES = 0.35, 20
 CONFIDENT = 0.6
@@ -60,101 +67,138 @@ def seed_labels(labels: DataFrame, key: str, subject: str, annotator: str, subje
     return votes.join(of, "doc").groupBy("doc").agg(F.collect_set(kept).alias("seeds"), ((F.first("n") > 1) & (F.min("v") == F.first("n"))).alias("trusted"))
 
 
-def _sum(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
-
-
 class SubjectGraph:
+    """Columns numbered 0 to K-1 are the subjects, K is none of them."""
+
     def __init__(self, subjects: list[str]):
         if not 2 <= len(subjects) <= MOST_SUBJECTS:
             raise ValueError(f"from 2 to {MOST_SUBJECTS} subjects")
         self.subjects = subjects
-        self.n = range(len(subjects))
+        self.n = range(len(subjects) + 1)
 
     def cols(self, x: str) -> list[Column]:
         return [F.col(f"{x}{c}") for c in self.n]
 
+    def each(self, text: str, to: str) -> list[str]:
+        """SQL of one column for each number, which stands as # in the text."""
+        return [f"{text.replace('#', str(c))} as {to}{c}" for c in self.n]
+
+    def total(self, text: str) -> str:
+        return "(" + " + ".join(text.replace("#", str(c)) for c in self.n) + ")"
+
+    def _summed(self, df: DataFrame, key: str | None, *aggs: str) -> DataFrame:
+        return (df.groupBy(key) if key else df.groupBy()).agg(*[F.expr(x) for x in aggs])
+
     def _bases(self, shares: DataFrame) -> DataFrame:
-        """(lang, b*): shares of the subjects in each language, from documents (lang, q*), drawn to those of all languages by 20 documents.
+        """(lang, b*): shares in each language, from documents (lang, q*), drawn to those of all languages by 20 documents.
 
         A document counts once, however long it is.
         """
-        sums = shares.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(f"q{c}").alias(f"q{c}") for c in self.n])
-        every = sums.agg(F.sum("n").alias("all"), *[F.sum(f"q{c}").alias(f"t{c}") for c in self.n])
-        return sums.crossJoin(F.broadcast(every)).select("lang", *[((F.col(f"q{c}") + 20 * F.col(f"t{c}") / F.col("all") + 1e-6) / (F.col("n") + 20)).alias(f"b{c}") for c in self.n])
+        sums = self._summed(shares, "lang", "count(*) as n", *self.each("sum(q#)", "q"))
+        every = self._summed(sums, None, "sum(n) as every", *self.each("sum(q#)", "t"))
+        return sums.crossJoin(F.broadcast(every)).selectExpr("lang", *self.each("(q# + 20 * t# / every + 1e-6D) / (n + 20)", "b"))
 
-    def _terms(self, shares: DataFrame, docs: DataFrame) -> DataFrame:
-        """(term, n, lift, verified, w*): how each term leans, from rows (lang, terms, q*) and documents (lang, q*)."""
+    def _content(self, shares: DataFrame, docs: DataFrame) -> DataFrame:
+        """(term): the terms with a verified lean, from rows (lang, terms, q*) and documents (lang, q*)."""
         bases = F.broadcast(self._bases(docs))  # a row for each language; 1-row crossJoin above
-        own = shares.join(bases, shares["lang"].eqNullSafe(bases["lang"])).select(F.explode("terms").alias("term"), *self.cols("q"), *self.cols("b"))
-        sums = own.groupBy("term").agg(F.count("*").alias("n"), *[F.sum(f"{x}{c}").alias(f"{x}{c}") for c in self.n for x in "qb"])
-        a, e = self.cols("q"), self.cols("b")  # e: what the languages of its sentences let expect
-        n = F.col("n")
-        g = 2 * _sum([F.when(x > 1e-9, x * F.log(x / y)).otherwise(0.0) for x, y in zip(a, e)])
-        share = [(x + 2 * y / n) / (n + 2) for x, y in zip(a, e)]
-        lift = [s * n / y for s, y in zip(share, e)]
-        top = F.greatest(*lift)
-        odds = F.greatest(*[x / (1.000001 - x) * (1.000001 - y / n) / (y / n) for x, y in zip(share, e)])
-        verified = (g > VERIFIED_G) & (odds > VERIFIED_ODDS) & (F.greatest(*share) > VERIFIED_SHARE) & (n >= 2)
-        return sums.select("term", "n", top.alias("lift"), verified.alias("verified"), *[F.log(x).alias(f"w{c}") for c, x in zip(self.n, lift)])
-
-    def _labelled(self, each: DataFrame, terms: DataFrame, docs: DataFrame) -> DataFrame:
-        """(doc, s, lang, terms, active, q*): each sentence's shares from its verified terms and its document."""
-        weights = broadcast_if_small(terms.filter("verified").select("term", *self.cols("w")))
-        hits = each.select("doc", "s", F.explode("terms").alias("term")).join(weights, "term").groupBy("doc", "s").agg(*[F.sum(f"w{c}").alias(f"w{c}") for c in self.n])
-        rows = each.join(hits, ["doc", "s"], "left").join(docs, "doc")
-        score = [F.when(F.col(f"m{c}") > 0, F.coalesce(f"w{c}", F.lit(0.0)) + F.log(F.col(f"p{c}") + 0.01)).otherwise(-50.0) for c in self.n]
-        scored = rows.select("doc", "s", "lang", "terms", (F.col("w0").isNotNull() & (_sum(self.cols("m")) > 0)).alias("active"), *[x.alias(f"x{c}") for c, x in zip(self.n, score)], *self.cols("m"), *self.cols("p"))
-        top = F.greatest(*self.cols("x"))
-        lifted = scored.select("doc", "s", "lang", "terms", "active", *self.cols("p"), *[F.exp(F.col(f"x{c}") - top).alias(f"x{c}") for c in self.n])
-        total = _sum(self.cols("x"))
-        return lifted.select("doc", "s", "lang", "terms", "active", *[(F.col(f"x{c}") / total).cast("float").alias(f"q{c}") for c in self.n], _sum([F.col(f"x{c}") / total * F.col(f"p{c}") for c in self.n]).cast("float").alias("agree"))
-
-    def _documents(self, docs: DataFrame, labelled: DataFrame) -> DataFrame:
-        """docs with the shares p* of their sentences that have evidence, drawn a little to those of all."""
-        active = labelled.filter("active")
-        sums = active.groupBy("doc").agg(F.count("*").alias("n"), *[F.sum(f"q{c}").alias(f"q{c}") for c in self.n])
-        every = sums.agg(F.sum("n").alias("all"), *[F.sum(f"q{c}").alias(f"t{c}") for c in self.n])
-        n = F.coalesce("n", F.lit(0))
-        return (
-            docs.select("doc", "lang", "trusted", *self.cols("m"))
-            .join(sums, "doc", "left")
-            .crossJoin(F.broadcast(every))  # one row
-            .select("doc", "lang", "trusted", *self.cols("m"), (n > 0).alias("live"), *[((F.coalesce(f"q{c}", F.lit(0.0)) + 0.5 * F.coalesce(F.col(f"t{c}") / F.col("all"), F.lit(1 / len(self.subjects)))) / (n + 0.5)).alias(f"p{c}") for c in self.n])
-        )
-
-    def spread(self, docs: DataFrame, key: str, text: str, lang: str, hint: str | None, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-        """(sentences, terms): (doc, s, active, q*, agree) after the last round, and all sentences with all their terms."""
-        n = len(self.subjects)
+        own = shares.join(bases, shares["lang"].eqNullSafe(bases["lang"])).selectExpr("explode(terms) as term", *self.each("q#", "q"), *self.each("b#", "b"))
+        sums = self._summed(own, "term", "count(*) as n", *self.each("sum(q#)", "q"), *self.each("sum(b#)", "b"))  # b: what the languages of its sentences let expect
+        shared = sums.selectExpr("*", *self.each("(q# + 2 * b# / n) / (n + 2)", "s"))
+        g = f"2 * {self.total('if(q# > 1e-9D, q# * ln(q# / b#), 0D)')} > {VERIFIED_G}D"
+        odds = [x.removesuffix(f" as o{c}") for c, x in zip(self.n, self.each("s# / (1.000001D - s#) * (1.000001D - b# / n) / (b# / n)", "o"))]
+        lean = f"greatest({', '.join(odds)}) > {VERIFIED_ODDS}D and greatest({', '.join(f's{c}' for c in self.n)}) > {VERIFIED_SHARE}D"
+        return stored(shared.filter(f"n >= 2 and {g} and {lean}").select("term"))
+
+    def similarity(self, full: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, nodes, edges): rows(doc, s, node) of the passages with content terms, nodes(node, members), edges(src, dst, overlap) in both directions."""
+        own = full.select("doc", "s", F.explode("terms").alias("term")).join(broadcast_if_small(content), "term").groupBy("doc", "s").agg(F.sort_array(F.collect_list("term")).alias("members"))
+        own = stored(own.withColumns({"h1": F.xxhash64("members"), "h2": F.xxhash64(F.reverse("members"), F.lit(1))}))
+        nodes = numbered(own.groupBy("h1", "h2").agg(F.first("members").alias("members")), "node")
+        rows = stored(own.select("doc", "s", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc", "s", "node"))
+        pairs = similar_sets(nodes, "node", "members", SIMILAR, 1)[0]
+        overlap = (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("overlap")
+        one = pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), overlap)
+        two = pairs.select(F.col("id_b").alias("src"), F.col("id_a").alias("dst"), overlap)
+        return rows, nodes.select("node", "members"), stored(one.unionByName(two))
+
+    def _shared(self, cells: DataFrame, place: DataFrame, nodes: DataFrame | None) -> DataFrame:
+        """cells(doc, node, n) with their shares y*: those of the node and of the document put together, within the subjects open to it."""
+        own = ["doc", "node", "n", "weight"]
+        both = cells.join(place, "doc")
+        if nodes is not None:
+            both, own = both.join(nodes, "node"), [*own, "reach"]
+        x = both.selectExpr(*own, *self.each("q# * p# * m#" if nodes is not None else "p# * m#", "y"))
+        return x.selectExpr(*own, *self.each(f"y# / ({self.total('y#')} + 1e-12D)", "y"))
+
+    def _sent(self, cells: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(nodes, prior): nodes(node, q*, reach) after the shares of the cells went along the edges, and the shares of all as one row t*."""
+        start = stored(self._summed(cells, "node", *self.each("sum(n * weight * y#)", "f")))
+        now = start
+        for _ in range(HOPS):
+            got = self._summed(edges.join(now, edges["src"] == now["node"]), "dst", *self.each("sum(part * f#)", "g")).withColumnRenamed("dst", "node")
+            now = start.join(got, "node", "full").selectExpr("node", *self.each(f"coalesce(f#, 0D) + {BETA}D * coalesce(g#, 0D)", "f"))
+        now = stored(now)
+        prior = self._summed(now, None, *self.each("sum(f#)", "f")).selectExpr(*self.each(f"(f# + 1e-9D) / {self.total('f#')}", "t"))
+        total = self.total("f#")
+        nodes = now.crossJoin(F.broadcast(prior)).selectExpr("node", *self.each(f"(f# + {NODE_PRIOR}D * t#) / ({total} + {NODE_PRIOR}D)", "q"), f"{total} / ({total} + {NODE_PRIOR}D) as reach")  # one row
+        return nodes, prior
+
+    def _documents(self, cells: DataFrame, place: DataFrame, prior: DataFrame) -> DataFrame:
+        """place with the shares p* of each document from its cells, clamped to its subjects, and its weight: the part of its passages that is reached."""
+        sums = self._summed(cells, "doc", *self.each("sum(n * reach * y#)", "f"))
+        total = self.total("coalesce(f#, 0D)")
+        fixed = ["doc", "lang", "seed", "trusted", "n_passages", *[f"m{c}" for c in self.n]]
+        share = f"(coalesce(f#, 0D) + {DOCUMENT_PRIOR}D * coalesce(t#, {1 / len(self.n)}D)) / ({total} + {DOCUMENT_PRIOR}D)"
+        raw = place.select(*fixed).join(sums, "doc", "left").crossJoin(F.broadcast(prior)).selectExpr(*fixed, f"if(seed, 1D, {total} / (n_passages + 1)) as weight", *self.each(f"greatest({share} * m#, 1e-3D * m#)", "p"))
+        return raw.selectExpr(*fixed, "weight", *self.each(f"p# / {self.total('p#')}", "p"))
+
+    def _named(self, rows: DataFrame, cells: DataFrame, place: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(doc, s, active, q*, agree): the shares of every passage, and how far they agree with its document's."""
+        near = place.selectExpr("doc", "weight", *self.each("m#", "m"), *self.each("p# + 0.01D", "p"))
+        shares = self._shared(cells, near, nodes).join(near.selectExpr("doc", *self.each("p#", "d")), "doc")
+        told = shares.selectExpr("doc", "node", "reach > 0.5 as active", f"{self.total('y# * d#')} as agree", *self.each("y#", "q"))
+        return rows.join(told, ["doc", "node"]).drop("node")
+
+    def spread(self, docs: DataFrame, key: str, text: str, lang: str, hint: str | None, seeds: DataFrame, graphs: int = GRAPHS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+        """(passages, all): (doc, s, active, q*, agree) after the last round, and all passages with all their terms."""
+        last = self.n[-1]
         own = docs.filter(F.col(key).isNotNull())
         full = stored(sentences(own, key, text, hint))
-        held = [F.array_contains("seeds", s.lower()).cast("int") for s in self.subjects]
+        held = [F.array_contains("seeds", s.lower()).cast("double") for s in self.subjects]
+        named = F.size("seeds") > 0
+        masks = [F.coalesce(x, F.lit(1.0)) for x in held] + [F.when(named, PLAIN).otherwise(1.0)]
         state = stored(
             own.select(F.col(key).alias("doc"), F.lower(F.trim(lang)).alias("lang"))
             .join(seeds, "doc", "left")
-            .select("doc", "lang", *[F.coalesce(x, F.lit(1)).alias(f"m{c}") for c, x in zip(self.n, held)], F.coalesce(F.size("seeds") > 0, F.lit(False)).alias("seed"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+            .select("doc", "lang", F.col("seeds").isNotNull().alias("seed"), F.coalesce("trusted", F.lit(False)).alias("trusted"), *[x.alias(f"m{c}") for c, x in zip(self.n, masks)])
         )
-        m = _sum(self.cols("m"))
-        # the seeds alone: a document's terms lean to its subjects in equal parts
-        sown = state.filter("seed").select("doc", "lang", *[(F.col(f"m{c}") / m).alias(f"q{c}") for c in self.n])
+        # the terms of the first graph lean by the seeds alone: in equal parts to a document's subjects
+        of = state.filter("seed").selectExpr("doc", "lang", *self.each("m#", "m")).withColumn(f"m{last}", F.when(F.col(f"m{last}") < 1, 0.0).otherwise(1.0))
+        sown = of.selectExpr("doc", "lang", *self.each(f"m# / {self.total('m#')}", "q"))
         first = full.join(sown.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).join(sown, "doc")
-        terms = stored(self._terms(first, sown))
-        neutral = terms.filter((F.col("n") >= NEUTRAL_SEEDS) & (F.col("lift") < NEUTRAL_LIFT)).select("term")
-        rare = full.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter("n >= 5").select("term")
-        kept = broadcast_if_small(rare.join(neutral, "term", "left_anti"))
-        each = stored(full.select("doc", "s", F.explode("terms").alias("term")).join(kept, "term").groupBy("doc", "s").agg(F.collect_list("term").alias("terms")))
-        place = state.select("doc", "lang", "trusted", *self.cols("m"), *[F.when(F.col("seed"), F.col(f"m{c}") / m).otherwise(1 / n).alias(f"p{c}") for c in self.n])
-        for i in range(rounds):
-            if i + 1 == rounds:  # seeds of one annotator may be wrong or incomplete: at last only trusted ones bind their document
-                place = place.withColumns({f"m{c}": F.when(F.col("trusted"), F.col(f"m{c}")).otherwise(1) for c in self.n})
-            labelled = stored(self._labelled(each, terms, place))
-            if i + 1 < rounds:
-                place = stored(self._documents(place, labelled))
-                heard = place.filter("live")
-                live = labelled.join(heard.select("doc"), "doc", "left_semi")
-                terms = stored(self._terms(live, heard.select("lang", *[F.col(f"p{c}").alias(f"q{c}") for c in self.n])))
-        self.terms = terms
-        return labelled.drop("terms", "lang"), full
+        content = self._content(first, sown)
+        for graph in range(graphs):
+            rows, _, edges = self.similarity(full, content)
+            degree = edges.groupBy("src").agg(F.sum("overlap").alias("d"))
+            edges = stored(edges.join(degree, "src").select("src", "dst", (F.col("overlap") / (1 + F.col("d"))).alias("part")))
+            cells = stored(rows.groupBy("doc", "node").agg(F.count("*").alias("n")))
+            counts = cells.groupBy("doc").agg(F.sum("n").alias("n_passages"))
+            place = stored(state.join(counts, "doc").selectExpr("*", "cast(seed as double) as weight", *self.each(f"m# / {self.total('m#')}", "p")))
+            nodes = None
+            for i in range(rounds):
+                heard = place.filter("seed") if nodes is None else place
+                nodes, prior = self._sent(self._shared(cells, heard, nodes), edges)
+                place = stored(self._documents(self._shared(cells, place, nodes), place, prior))
+            if graph + 1 < graphs:
+                live = place.filter(F.col("weight") > HEARD)
+                told = self._named(rows, cells, live, nodes).filter("active").drop("active", "agree")
+                known = full.join(live.selectExpr("doc", "lang", *self.each("p#", "p")), "doc").join(told, ["doc", "s"], "left").selectExpr("lang", "terms", *self.each("cast(coalesce(q#, p#) as float)", "q"))
+                content = self._content(known, live.selectExpr("lang", *self.each("p#", "q")))
+        # seeds of one annotator may be wrong or incomplete: at last only trusted ones bind their document
+        place = place.selectExpr("doc", "lang", "seed", "trusted", "n_passages", "weight", *self.each("if(seed and not trusted, 1D, m#)", "m"), *self.each("if(seed and not trusted, 1D, p#)", "p"))
+        place = stored(self._documents(self._shared(cells, place, nodes), place, prior))
+        self.content = content
+        return stored(self._named(rows, cells, place, nodes)), full
 
     def subjects_of(self, labelled: DataFrame, full: DataFrame, least: int = 2) -> DataFrame:
         """(doc, subject, n_sentences): subjects with `least` or more sentences that clearly speak about them.
@@ -162,18 +206,17 @@ class SubjectGraph:
         Sentences with a word beside which sentences seldom agree with the rest of
         their document are left out: comparisons and other asides.
         """
-        q = self.cols("q")
-        spoken = labelled.filter("active and s >= 0")
-        top = F.greatest(*q)
-        named = F.coalesce(*[F.when(x == top, F.lit(s)) for x, s in zip(q, self.subjects)])
-        clear = spoken.select("doc", "s", "agree", top.alias("top"), named.alias("subject"))
+        names = F.array(*[F.lit(x) for x in self.subjects], F.lit(None))  # the last column is no subject
+        shares = F.array(*self.cols("q"))
+        spoken = labelled.filter("active and s >= 0").select("doc", "s", "agree", shares.alias("shares")).withColumn("top", F.array_max("shares"))
+        clear = spoken.select("doc", "s", "agree", "top", F.get(names, (F.array_position("shares", F.col("top")) - 1).cast("int")).alias("subject"))
         words = clear.select("doc", "s", "agree").join(full, ["doc", "s"]).select("doc", "s", "agree", F.explode("terms").alias("term"))
-        plain = words.join(broadcast_if_small(self.terms.filter("verified").select("term")), "term", "left_anti")
+        plain = words.join(broadcast_if_small(self.content), "term", "left_anti")
         agreement = (F.sum("agree") + 0.7 * AGREEMENT_SENTENCES) / (F.count("*") + AGREEMENT_SENTENCES)
         odd = plain.groupBy("term").agg(agreement.alias("r"), F.count("*").alias("n")).filter((F.col("n") >= AGREEMENT_SENTENCES) & (F.col("r") < AGREEMENT)).select("term")
         aside = full.select("doc", "s", F.explode("terms").alias("term")).join(broadcast_if_small(odd), "term", "left_semi").select("doc", "s").distinct()
         return (
-            clear.filter(F.col("top") >= CONFIDENT)
+            clear.filter((F.col("top") >= CONFIDENT) & F.col("subject").isNotNull())
             .join(aside, ["doc", "s"], "left_anti")
             .groupBy("doc", "subject")
             .agg(F.count("*").alias("n_sentences"))
