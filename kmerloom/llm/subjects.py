@@ -8,8 +8,8 @@ seeds: the passages of a labelled document are clamped to its subjects (at the e
 only of those whose annotators agree). A round sums the shares of the passages by
 node, sends them along the edges, and sums the nodes' shares by document; documents
 that were reached pass theirs on in the next round. A document keeps every subject
-that enough of its sentences speak about. The graph is built GRAPHS times, each time
-with terms chosen by what the last one gave, and spread over from the seeds anew.
+that enough of its sentences speak about. The graph is built twice, the second time
+with terms chosen by what the first one gave, and spread over from the seeds anew.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from kmerloom.session import broadcast_if_small, numbered, stored
 
 #: Subjects that the columns of a run may spread over.
 MOST_SUBJECTS = 200
-#: Graphs that are built one after another, and rounds over each.
-GRAPHS, ROUNDS = 2, 2
+#: Rounds over each of the graphs that are built one after another.
+ROUNDS = (2, 3)
 #: Least overlap (common terms by all terms) of neighbours, share that a node takes over from them, steps of it in a round.
-SIMILAR, BETA, HOPS = 0.5, 0.8, 2
+SIMILAR, BETA, HOPS = 0.5, 0.8, 1
 #: Weight of the corpus's shares in those of a node and of a document.
 NODE_PRIOR, DOCUMENT_PRIOR = 0.05, 0.5
 #: Share of no subject at all in a document with subjects; share of a document's passages that must be reached for its terms to count.
@@ -127,7 +127,7 @@ class SubjectGraph:
         both = cells.join(place, "doc")
         if nodes is not None:
             both, own = both.join(nodes, "node"), [*own, "reach"]
-        x = both.selectExpr(*own, *self.each("q# * p# * m#" if nodes is not None else "p# * m#", "y"))
+        x = both.selectExpr(*own, *self.each("q# * sqrt(q#) * p# * m#" if nodes is not None else "p# * m#", "y"))
         return x.selectExpr(*own, *self.each(f"y# / ({self.total('y#')} + 1e-12D)", "y"))
 
     def _sent(self, cells: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,7 +159,7 @@ class SubjectGraph:
         told = shares.selectExpr("doc", "node", "reach > 0.5 as active", f"{self.total('y# * d#')} as agree", *self.each("y#", "q"))
         return rows.join(told, ["doc", "node"]).drop("node")
 
-    def spread(self, docs: DataFrame, key: str, text: str, lang: str, hint: str | None, seeds: DataFrame, graphs: int = GRAPHS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    def spread(self, docs: DataFrame, key: str, text: str, lang: str, hint: str | None, seeds: DataFrame, rounds: tuple[int, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
         """(passages, all): (doc, s, active, q*, agree) after the last round, and all passages with all their terms."""
         last = self.n[-1]
         own = docs.filter(F.col(key).isNotNull())
@@ -177,7 +177,7 @@ class SubjectGraph:
         sown = of.selectExpr("doc", "lang", *self.each(f"m# / {self.total('m#')}", "q"))
         first = full.join(sown.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).join(sown, "doc")
         content = self._content(first, sown)
-        for graph in range(graphs):
+        for graph, n_rounds in enumerate(rounds):
             rows, _, edges = self.similarity(full, content)
             degree = edges.groupBy("src").agg(F.sum("overlap").alias("d"))
             edges = stored(edges.join(degree, "src").select("src", "dst", (F.col("overlap") / (1 + F.col("d"))).alias("part")))
@@ -185,14 +185,17 @@ class SubjectGraph:
             counts = cells.groupBy("doc").agg(F.sum("n").alias("n_passages"))
             place = stored(state.join(counts, "doc").selectExpr("*", "cast(seed as double) as weight", *self.each(f"m# / {self.total('m#')}", "p")))
             nodes = None
-            for i in range(rounds):
+            for _ in range(n_rounds):
                 heard = place.filter("seed") if nodes is None else place
                 nodes, prior = self._sent(self._shared(cells, heard, nodes), edges)
                 place = stored(self._documents(self._shared(cells, place, nodes), place, prior))
-            if graph + 1 < graphs:
+            if graph + 1 < len(rounds):
                 live = place.filter(F.col("weight") > HEARD)
                 told = self._named(rows, cells, live, nodes).filter("active").drop("active", "agree")
-                known = full.join(live.selectExpr("doc", "lang", *self.each("p#", "p")), "doc").join(told, ["doc", "s"], "left").selectExpr("lang", "terms", *self.each("cast(coalesce(q#, p#) as float)", "q"))
+                # passages that weren't reached speak about what their document does; a labelled one's, rather about those of its subjects that few others do
+                rest = "m# * (1 - 0.8D * p#)"
+                mine = live.selectExpr("doc", "lang", *self.each(f"if(seed, {rest} / {self.total(rest)}, p#)", "p"))
+                known = full.join(mine, "doc").join(told, ["doc", "s"], "left").selectExpr("lang", "terms", *self.each("cast(coalesce(q#, p#) as float)", "q"))
                 content = self._content(known, live.selectExpr("lang", *self.each("p#", "q")))
         # seeds of one annotator may be wrong or incomplete: at last only trusted ones bind their document
         place = place.selectExpr("doc", "lang", "seed", "trusted", "n_passages", "weight", *self.each("if(seed and not trusted, 1D, m#)", "m"), *self.each("if(seed and not trusted, 1D, p#)", "p"))

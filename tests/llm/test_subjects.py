@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.llm.subject_queries import subjects_of_documents
+from kmerloom.llm.subjects import SubjectGraph
 from kmerloom.session import table
 
 SF = "/root/testdata/sf0.01"
@@ -58,12 +59,9 @@ def test_empty_tables(spark):
     assert subjects_of_documents(spark, d, s.limit(0), lab).count() == 0
 
 
-SHORTFALL = pytest.mark.xfail(reason="14 of 21 labels are found where 88 are left to learn from; the bound is 0.7", strict=False)
-
-
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
-@pytest.mark.parametrize("sf", [pytest.param(SF, marks=SHORTFALL), "/root/testdata/sf0.1"])
-def test_held_out_labels(spark, sf):
+@pytest.mark.parametrize("sf,recall,precision", [(SF, 0.4, 0.5), ("/root/testdata/sf0.1", 0.9, 0.9)])  # some 90 labels don't suffice at the small size, see the README
+def test_held_out_labels(spark, sf, recall, precision):
     labels = table(spark, sf, "subject_labels")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     want = {}
@@ -73,4 +71,20 @@ def test_held_out_labels(spark, sf):
     for r in subjects_of_documents(spark, table(spark, sf, "documents"), table(spark, sf, "subjects"), labels.filter(~held)).collect():
         got.setdefault(r.doc, set()).add(r.subject)
     hit = sum(len(got.get(d, set()) & s) for d, s in want.items())
-    assert hit >= 0.7 * sum(map(len, want.values())) and hit >= 0.8 * sum(len(got.get(d, set())) for d in want)
+    found = hit / sum(map(len, want.values())), hit / sum(len(got.get(d, set())) for d in want)
+    print(sf, "recall, precision", found)
+    assert found[0] >= recall and found[1] >= precision
+
+
+def test_edges_are_all_verified_overlaps(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, i // 40, sorted(set(rng.integers(0, 12, int(rng.integers(1, 7))).tolist()))) for i in range(200)]
+    full = spark.createDataFrame(rows, "doc bigint, s int, terms array<bigint>")
+    content = spark.createDataFrame([(t,) for t in range(9)], "term bigint")
+    passages, nodes, edges = SubjectGraph(["a", "b"]).similarity(full, content)
+    sets = {r.node: frozenset(r.members) for r in nodes.collect()}
+    assert len(set(sets.values())) == len(sets)
+    assert {(r.doc, r.s): sets[r.node] for r in passages.collect()} == {(d, s): frozenset(t) & set(range(9)) for d, s, t in rows if set(t) & set(range(9))}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a != b and 2 * len(x & y) >= len(x | y)}
+    got = {(r.src, r.dst): r.overlap for r in edges.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and got
