@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.session import stored
+
 #: Positions of one sweep block. A window never holds more boundaries than this,
 #: however many intervals an entity has, as boundaries at one position are summed first.
 BLOCK = 1 << 16
@@ -73,7 +75,7 @@ def periods_and_gaps(df: DataFrame, entity: str, beg: str, end: str, min_depth:
     """
     swept = depth_changes(boundary_events(df, entity, beg, end), block)
     covered, before = F.col("depth") >= min_depth, F.col("depth") - F.col("delta") >= min_depth
-    edges = swept.filter(covered != before).select("entity", "blk", "pos", covered.alias("opens"))
+    edges = stored(swept.filter(covered != before).select("entity", "blk", "pos", covered.alias("opens")))  # read twice below
     return (
         _with_previous(edges, "pos")
         .filter("prev_pos is not null")
@@ -83,7 +85,7 @@ def periods_and_gaps(df: DataFrame, entity: str, beg: str, end: str, min_depth:
 
 def coverage_segments(df: DataFrame, entity: str, beg: str, end: str, block: int = BLOCK) -> DataFrame:
     """(entity, beg, end, depth) of maximal stretches of equal depth between the first and last boundary."""
-    swept = depth_changes(boundary_events(df, entity, beg, end), block)
+    swept = stored(depth_changes(boundary_events(df, entity, beg, end), block))
     return _with_previous(swept, "pos", "depth").filter("prev_pos is not null").select(
         "entity", F.col("prev_pos").alias("beg"), F.col("pos").alias("end"), F.col("prev_depth").alias("depth")
     )

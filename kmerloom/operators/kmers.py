@@ -31,13 +31,16 @@ def multi_k_counts(reads: DataFrame, ks: list[int]) -> DataFrame:
 
 def choose_ktmers(counts: DataFrame, t_min: int, t_max: int | None = None, palindromes: bool = False, low_complexity: bool = False) -> DataFrame:
     """Counts from t_min to t_max; palindromes and k-mers of nearly one base are dropped unless allowed, each k-mer by itself."""
-    out = counts.filter(F.col("t") >= t_min)
+    bound = F.col("t") >= t_min
     if t_max is not None:
-        out = out.filter(F.col("t") <= t_max)
+        bound = bound & (F.col("t") <= t_max)
+    dropped = F.lit(False)
     if not palindromes:
-        out = out.filter(~is_palindrome("kmer"))
+        dropped = dropped | is_palindrome("kmer")
     if not low_complexity:
-        out = out.filter(~is_low_complexity("kmer"))
+        dropped = dropped | is_low_complexity("kmer")
+    # one condition that hangs on the count: by itself the test of the k-mer would be pushed below the count and run for every occurrence
+    out = counts.filter(F.when(bound, ~dropped).otherwise(False))
     return out
 
 

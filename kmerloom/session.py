@@ -39,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir where the cluster names one.
 
-    Only where it is unset (tests, a laptop) a folder of this machine is used.
+    Only where it is unset and the master is local (tests, a laptop) a folder of this
+    machine is used; a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="kmerloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
