@@ -162,3 +162,17 @@ class Mix:
     def shards(self) -> DataFrame:
         """(shard, source, n_blocks): the draw of every shard of the output."""
         return self.slots().groupBy("shard", "source").agg(F.count("*").alias("n_blocks"))
+
+    def blocks(self, ids: DataFrame) -> DataFrame:
+        """(slot, shard, source, block, tokens): the mix itself, from the token ids(doc, ids) of the documents.
+
+        Every document is cut once where blocks end; the parts are put together by source
+        and block, and joined with the slots that use the block. The last block of a source
+        may be shorter than the others.
+        """
+        size = self.block
+        first, last = f"start div {size}", f"(start + n_tokens - 1) div {size}"
+        part = f"transform(sequence({first}, {last}), b -> struct(b as block, greatest(b * {size} - start, 0) as at, slice(ids, cast(greatest(b * {size} - start, 0) as int) + 1, cast(least(n_tokens, (b + 1) * {size} - start) - greatest(b * {size} - start, 0) as int)) as part))"
+        cut = self.docs.join(ids.select("doc", "ids"), "doc").select("source", "start", F.explode(F.expr(part)).alias("x"))
+        own = cut.groupBy("source", F.col("x.block").alias("block")).agg(F.sort_array(F.collect_list(F.struct((F.col("start") + F.col("x.at")).alias("at"), F.col("x.part").alias("part")))).alias("parts"))
+        return self.slots().join(own.select("source", "block", F.flatten("parts.part").alias("tokens")), ["source", "block"]).select("slot", "shard", "source", "block", "tokens")

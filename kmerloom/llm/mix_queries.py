@@ -18,9 +18,13 @@ def source_name(col: str) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(col)), r"[\s_]+", "_"), F.lit(""))
 
 
+def _ids(docs: DataFrame) -> DataFrame:
+    return encoded(docs, "doc_id", "text").withColumnRenamed("key", "doc")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Mix]:
     docs = table(spark, sf_dir, "documents")
-    counted = encoded(docs, "doc_id", "text").select(F.col("key").alias("doc"), F.size("ids").cast("bigint").alias("n_tokens"))
+    counted = _ids(docs).select("doc", F.size("ids").cast("bigint").alias("n_tokens"))
     sizes = stored(docs.select(F.col("doc_id").alias("doc"), source_name("source").alias("source")).join(counted, "doc"))
     targets = table(spark, sf_dir, "mix_targets").select(source_name("source").alias("source"), "target_share", "max_repeats")
     return sizes, Mix(sizes, targets)
@@ -57,3 +61,9 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source counts drawn for every shard of the output."""
     return _mix(spark, sf_dir)[1].shards()
+
+
+@REG.query("p8_blocks")
+def p8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: the token block of every slot."""
+    return _mix(spark, sf_dir)[1].blocks(stored(_ids(table(spark, sf_dir, "documents"))))

@@ -11,6 +11,8 @@ from kmerloom.session import one_row_per_key, table
 
 REG = Registry()
 MIN_COUNT, MIN_LIFT = 8, 4
+#: Chance beyond one in a hundred (chi square, one degree of freedom). 8 times together at a lift of 4 always lies beyond it: llr >= 2 * (8 * ln 4 - 6) > 10.
+MIN_LLR = 6.63
 SIDES = (("creads", "read_idx"), ("ktmer_edges", "src"))
 
 
@@ -33,7 +35,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key in SIDES:
         rows = one_row_per_key(table(spark, sf_dir, name).select(key, "ktmers"), key)
-        side = pairs_together(rows, key, "ktmers", MIN_COUNT, MIN_LIFT).withColumn("side", F.lit(name))
+        side = pairs_together(rows, key, "ktmers", MIN_COUNT, MIN_LIFT, MIN_LLR).withColumn("side", F.lit(name))
         out = side if out is None else out.unionByName(side)
     return out.withColumnsRenamed({"item_a": "kmer_a", "item_b": "kmer_b"})
 

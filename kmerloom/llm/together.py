@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.session import broadcast_if_small, numbered, stored
 
-#: Pairs that a task sums before it writes stripes; neighbours of one stripe as a power of 2.
+#: Pairs that a task sums before it writes stripes, and pairs that it makes at once; neighbours of one stripe as a power of 2.
 HELD = 4_000_000
+AT_ONCE = 1_000_000
 RANGE_BITS = 16
 #: Items of a basket beyond which it is cut into blocks that are paired by different tasks.
 BLOCK = 1024
@@ -64,20 +65,33 @@ def _stripes(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["item", "span", "neighbours", "counts"])
 
 
+def _by_pairs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of baskets that make AT_ONCE pairs at most, one basket at least."""
+    sizes = np.diff(offsets)
+    upto = np.r_[0, np.cumsum(sizes * (sizes - 1) // 2)]
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + AT_ONCE, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _make_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            offsets, values = _lists(part.column(0))
-            with_offsets, others = _lists(part.column(1))
+        offsets, values = _lists(batch.column(0))
+        with_offsets, others = _lists(batch.column(1))
+        ranges = [(i, i + 1) for i in range(batch.num_rows)] if len(others) else _by_pairs(offsets)
+        for lo, hi in ranges:
+            left = values[offsets[lo] : offsets[hi]]
             if len(others):  # two blocks of one large basket
-                for i in range(part.num_rows):
-                    left, right = values[offsets[i] : offsets[i + 1]], others[with_offsets[i] : with_offsets[i + 1]]
-                    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-                    held.append(_summed(np.minimum(a, b), np.maximum(a, b), None))
+                right = others[with_offsets[lo] : with_offsets[hi]]
+                a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+                a, b = np.minimum(a, b), np.maximum(a, b)
             else:
-                held.append(_summed(*_pairs_in(offsets, values), None))
+                a, b = _pairs_in(offsets[lo : hi + 1] - offsets[lo], left)
+            held.append(_summed(a, b, None))
             size += len(held[-1][0])
             if size >= HELD:
                 yield _stripes(*_merged(held))
@@ -125,8 +139,8 @@ def _log_likelihood(ab, a, b, n):
     return F.lit(2.0) * sum((part(seen, expected / n) for seen, expected in cells), F.lit(0.0))
 
 
-def pairs_together(baskets: DataFrame, key: str, items: str, min_count: int, min_lift: float) -> DataFrame:
-    """(item_a, item_b, n_a, n_b, n_ab, n_baskets, lift, llr) of the item pairs with n_ab >= min_count and lift >= min_lift.
+def pairs_together(baskets: DataFrame, key: str, items: str, min_count: int, min_lift: float, min_llr: float = 0.0) -> DataFrame:
+    """(item_a, item_b, n_a, n_b, n_ab, n_baskets, lift, llr) of the item pairs with n_ab >= min_count, lift >= min_lift and llr >= min_llr.
 
     One row of `baskets` is a basket (distinct keys). Null items are none and repeated
     ones count once; a basket without an item isn't counted. lift is
@@ -145,7 +159,7 @@ def pairs_together(baskets: DataFrame, key: str, items: str, min_count: int, min
     each = sets.select("key", F.explode("own").alias("item"))
     counts = each.groupBy("item").agg(F.count("*").alias("n")).filter((F.col("n") >= min_count) & (F.col("n") * F.lit(lift) <= n_baskets))
     vocabulary = stored(numbered(counts, "id").select("item", "n", F.col("id").cast("int").alias("id")))
-    coded = (
+    coded = stored(  # read for the small and the large baskets
         each.join(broadcast_if_small(vocabulary.select("item", "id")), "item")
         .groupBy("key")
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -179,4 +193,4 @@ def pairs_together(baskets: DataFrame, key: str, items: str, min_count: int, min
         n.alias("n_baskets"),
         (F.col("n_ab").cast("double") * n / (F.col("n_first").cast("double") * F.col("n_second"))).alias("lift"),
         _log_likelihood(F.col("n_ab"), F.col("n_first"), F.col("n_second"), n).alias("llr"),
-    )
+    ).filter(F.col("llr") >= min_llr)

@@ -23,6 +23,9 @@ from kmerloom.llm.batches import BASE_CODES, BASES, UNCALLED, flat_strings, slic
 HELD = 6_000_000
 CAPACITY = 1 << 16
 SLICE = 1 << 20
+#: Words of a route (merged at once in one task at most) and of a reader, repeated ones counted, that routes and readers are chosen for.
+PER_ROUTE, PER_READER = 1 << 20, 1 << 26
+MOST_ROUTE_BASES = 11
 ZSTD = "zstd"
 
 
@@ -184,8 +187,10 @@ def word_counts(df: DataFrame, seq: str, k: int, listed: DataFrame | None = None
     if not 2 <= k <= 31:
         raise ValueError("k must be from 2 to 31")
     spark = df.sparkSession
-    readers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    route_bases = min(k, max(4, math.ceil(math.log(64 * readers, 4))))
+    # routes are as long as keeps the words of one, and the routes of a reader, few at any size of the table
+    n_words = df.agg(F.sum(F.length(seq).cast("bigint"))).first()[0] or 0
+    readers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PER_READER))
+    route_bases = min(k, MOST_ROUTE_BASES, max(4, math.ceil(math.log(64 * readers, 4)), math.ceil(math.log(max(1, n_words / PER_ROUTE), 4))))
     leaves = _tries(df.select(seq), k, route_bases, False, held, capacity)
     if listed is not None:
         leaves = leaves.unionByName(_tries(listed.select(F.col(listed.columns[0])), k, route_bases, True, held, capacity))

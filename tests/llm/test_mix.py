@@ -49,3 +49,19 @@ def test_empty_tables(spark):
     assert Mix(sizes, targets).uses().count() == 0
     some = spark.createDataFrame([(1, "a", 100)], sizes.schema)
     assert Mix(some, targets.limit(0)).uses().count() == 0
+
+
+def test_blocks_give_back_the_documents(spark):
+    rng = np.random.default_rng(6)
+    texts = {i: rng.integers(0, 1000, int(n)).tolist() for i, n in enumerate([5, 700, 1, 64, 63, 0, 128, 40, 300])}
+    source = {i: "ab"[i % 2] for i in texts}
+    sizes = spark.createDataFrame([(i, source[i], len(t)) for i, t in texts.items()], "doc bigint, source string, n_tokens bigint")
+    ids = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc bigint, ids array<int>, source string")
+    mix = Mix(sizes, spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int"), block=64)
+    got = mix.blocks(ids).collect()
+    assert sorted(r.slot for r in got) == list(range(sum(s.slots for s in mix.shares)))
+    start = {r.doc: r.start for r in mix.docs.collect()}
+    for name in "ab":
+        whole = sum((texts[i] for i in sorted((i for i in start if source[i] == name), key=start.get)), [])
+        for r in got:
+            assert r.source != name or r.tokens == whole[64 * r.block : 64 * (r.block + 1)]

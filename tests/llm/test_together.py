@@ -50,3 +50,18 @@ def test_empty_and_likelihood(spark):
     rows = [(i, ["a", "b"]) for i in range(10)] + [(10 + i, ["c"]) for i in range(30)]
     r = pairs_together(spark.createDataFrame(rows, "k bigint, items array<string>"), "k", "items", 2, 1).first()
     assert abs(r.llr - 2 * (10 * log(10 * 40 / 100) + 30 * log(30 * 40 / 900))) < 1e-6 and r.lift == 4.0
+
+
+def test_significance_is_a_bound(spark):
+    df = spark.createDataFrame([(i, ["a", "b"]) for i in range(10)] + [(10 + i, ["c"] if i % 2 else ["c", "d"]) for i in range(30)], "k bigint, items array<string>")
+    every = {(r.item_a, r.item_b): r.llr for r in pairs_together(df, "k", "items", 1, 1).collect()}
+    some = {(r.item_a, r.item_b) for r in pairs_together(df, "k", "items", 1, 1, 20.0).collect()}
+    assert len(every) == 2 and some == {k for k, x in every.items() if x >= 20} != set(every)
+
+
+def test_many_large_baskets_are_paired_piece_by_piece():
+    rng = np.random.default_rng(2)
+    sizes = np.r_[rng.integers(900, 1000, 40), 0, 1, 3]
+    ranges = list(together._by_pairs(np.r_[0, np.cumsum(sizes)]))
+    assert [lo for lo, _ in ranges][1:] == [hi for _, hi in ranges][:-1] and ranges[-1][1] == len(sizes)
+    assert all(hi - lo == 1 or sum(n * (n - 1) // 2 for n in sizes[lo:hi]) <= together.AT_ONCE for lo, hi in ranges)
