@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.operators.intervals import periods_and_gaps, seed_islands
+
+#: Parts of a group that are ranked apart.
+PARTS = 64
+
 
 def percent(col: str = "accuracy") -> Column:
     """Accuracy in per cent: values up to 1 are fractions; null for NaN."""
@@ -37,18 +42,18 @@ def coverage_histogram(segments: DataFrame, most: int = 30) -> DataFrame:
 
 def low_coverage_runs(segments: DataFrame, below: int = 4, longer_than: int = 1) -> DataFrame:
     """(entity, beg, end): maximal runs of positions covered fewer than `below` times and longer than `longer_than`."""
-    order = Window.partitionBy("entity").orderBy("beg")
-    low = F.col("depth") < below
-    marked = segments.select("entity", "beg", "end", low.alias("low")).withColumn("fresh", F.when(F.coalesce(F.lag("low").over(order), ~F.col("low")) != F.col("low"), 1).otherwise(0))
-    runs = marked.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("low")
-    return runs.groupBy("entity", "run").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).filter(F.col("end") - F.col("beg") > longer_than).drop("run")
+    low = segments.filter(F.col("depth") < below)  # low segments of one run touch
+    runs = periods_and_gaps(low, "entity", "beg", "end").filter("kind = 'period'")
+    return runs.filter(F.col("end") - F.col("beg") > longer_than).select("entity", "beg", "end")
 
 
 def support_percentile(rows: DataFrame, by: str, value: str, nth: int = 3) -> DataFrame:
     """(by, value): the nth smallest value of a group, its greatest if it has fewer."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.filter(F.col(value).isNotNull()).select(by, value, F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    return ranked.filter(F.col("r") == F.least(F.lit(nth), F.col("n"))).select(by, value)
+    # the least ones of every part of a group first, so that a group with a third of the rows isn't one task
+    held = rows.filter(F.col(value).isNotNull()).select(by, value, F.pmod(F.xxhash64(value), F.lit(PARTS)).alias("_part"))
+    for keys in ([by, "_part"], [by]):
+        held = held.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).filter(F.col("_r") <= nth).drop("_r")
+    return held.groupBy(by).agg(F.max(value).alias(value))
 
 
 def jump_scores(rows: DataFrame, by: str, margin: int = 100, share: float = 0.6, support: int = 3) -> DataFrame:
@@ -88,8 +93,10 @@ def not_contained(contigs: DataFrame, width: int) -> DataFrame:
 def seed_clusters(rows: DataFrame, entity: str, pos: str, radius: int) -> DataFrame:
     """(entity, seed, n): positions clustered greedily in order: the first one left is a seed and takes all within the radius of it.
 
-    In sorted order a cluster is what lies before seed + radius, so one pass over an
-    entity's distinct positions decides; they are summed before.
+    In sorted order a cluster is what lies before seed + radius, so one pass over the
+    distinct positions decides; they are summed before. A position that is the radius
+    or more away from the one before is a seed whatever came before, so the passes run
+    over the islands between such places, not over entities.
     """
     import pandas as pd
 
@@ -104,4 +111,38 @@ def seed_clusters(rows: DataFrame, entity: str, pos: str, radius: int) -> DataFr
                 out.append([key[0], p, n])
         return pd.DataFrame(out, columns=["entity", "seed", "n"])
 
-    return counts.groupBy("entity").applyInPandas(work, "entity string, seed bigint, n bigint")
+    return seed_islands(counts, radius).groupBy("entity", "island").applyInPandas(work, "entity string, seed bigint, n bigint")
+
+
+def breakpoints(rows: DataFrame, by: str, margin: int = 100, bin_size: int = 100) -> DataFrame:
+    """(by, bin, n): where alignments break off inside both sequences, by stretches of `bin_size` bases of the contig.
+
+    A break in the first or last `margin` bases of the contig is none; nulls are none.
+    """
+    left = F.expr(f"if(nh_beg > {margin} and ec_beg > {margin}, ec_beg, null)")
+    right = F.expr(f"if(t_len - nh_end > {margin} and ec_len - ec_end > {margin}, ec_end, null)")
+    at = rows.select(by, F.explode(F.array(left, right)).alias("at")).filter("at is not null")
+    return at.groupBy(by, (F.floor(F.col("at") / bin_size) * bin_size).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def jump_pieces(rows: DataFrame, by: str, length: str, margin: int = 100, bin_size: int = 100, share: float = 0.6, support: int = 3) -> DataFrame:
+    """(by, beg, end): the pieces of contigs, those with a likely wrong joint cut at the stretch with the most breaks (the first of these)."""
+    cut = breakpoints(rows, by, margin, bin_size).groupBy(by).agg(F.max(F.struct("n", (-F.col("bin")).alias("first"))).alias("m")).select(by, (-F.col("m.first")).alias("cut"))
+    jumps = jump_scores(rows, by, margin, share, support).select(by, "jump")
+    whole = rows.groupBy(by).agg(F.max(length).cast("bigint").alias("len")).join(jumps, by).join(cut, by, "left")
+    one = F.array(F.struct(F.lit(0).cast("bigint").alias("beg"), F.col("len").alias("end")))
+    two = F.array(F.struct(F.lit(0).cast("bigint").alias("beg"), F.col("cut").alias("end")), F.struct(F.col("cut").alias("beg"), F.col("len").alias("end")))
+    return whole.select(by, F.explode(F.when(F.col("jump") & (F.col("cut") > 0) & (F.col("cut") < F.col("len")), two).otherwise(one)).alias("p")).select(by, "p.beg", "p.end")
+
+
+def cluster_stats(clusters: DataFrame) -> DataFrame:
+    """(entity, n_clusters, n_single, covered, best) from clusters(entity, beg, end, n): those of one interval, the bases of all, the longest."""
+    size = F.col("end") - F.col("beg")
+    return clusters.groupBy("entity").agg(F.count("*").alias("n_clusters"), F.count_if(F.col("n") == 1).alias("n_single"), F.sum(size).alias("covered"), F.max(size).alias("best"))
+
+
+def paired_by_prefix(left: DataFrame, right: DataFrame, name: str, length: int = 20) -> DataFrame:
+    """(prefix, left, right): names that begin alike, each in one pair at most: the first with the first, and so on. Null names are in no pair."""
+    order = Window.partitionBy("prefix").orderBy(name)
+    one, two = (x.filter(F.col(name).isNotNull()).select(F.substring(name, 1, length).alias("prefix"), name).distinct().withColumn("r", F.row_number().over(order)) for x in (left, right))
+    return one.withColumnRenamed(name, "left").join(two.withColumnRenamed(name, "right"), ["prefix", "r"]).drop("r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.dna import indel_neighbours, kmer_rows, proper_deletions, proper_insertions
+from kmerloom.functions.dna import hamming, indel_neighbours, kmer_rows, proper_deletions, proper_insertions
 from kmerloom.session import stored
 
 
@@ -68,3 +68,17 @@ def split_scores(scores: DataFrame, group: str, score: str) -> DataFrame:
     s = F.col(score).cast("double")
     cuts = scores.select(group, F.row_number().over(down).alias("n_top"), F.count("*").over(Window.partitionBy(group)).alias("n"), (F.stddev_pop(s).over(upto) + F.stddev_pop(s).over(up)).alias("spread"))
     return cuts.filter("n_top < n").groupBy(group).agg(F.min(F.struct(F.round("spread", 9).alias("spread"), "n_top", "n")).alias("b")).select(group, "b.n_top", (F.col("b.n") - F.col("b.n_top")).alias("n_rest"))
+
+
+def hamming_pairs(kmers: DataFrame, kmer: str, most: int) -> DataFrame:
+    """(a, b, distance), a < b: distinct k-mers of equal length that differ in `most` places or fewer.
+
+    Cut into most + 1 pieces, two such k-mers agree in one of them at the same place,
+    so they are joined on each piece and then compared; null k-mers have no neighbour.
+    """
+    n = F.length("a")
+    begin = lambda i: F.floor(n * i / (most + 1)).cast("int")
+    pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.substr(F.col("a"), begin(i) + 1, begin(i + 1) - begin(i)).alias("x")) for i in range(most + 1)])
+    own = kmers.filter(F.col(kmer).isNotNull()).select(F.col(kmer).alias("a")).distinct().select("a", n.alias("n"), F.explode(pieces).alias("p")).select("a", "n", "p.i", "p.x")
+    both = own.join(own.withColumnRenamed("a", "b"), ["n", "i", "x"]).filter("a < b").select("a", "b").distinct()
+    return both.withColumn("distance", hamming("a", "b")).filter(F.col("distance") <= most)

@@ -91,27 +91,43 @@ def coverage_segments(df: DataFrame, entity: str, beg: str, end: str, block: int
     )
 
 
-def interval_clusters(df: DataFrame, entity: str, beg: str, end: str) -> DataFrame:
+def _running(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows with sum_<col>, the sum of `col` up to `pos` in the entity: inside blocks, and over the sums of the blocks."""
+    sums = rows.groupBy("entity", "blk").agg(*[F.sum(c).alias(c) for c in cols])
+    ahead = Window.partitionBy("entity").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("entity", "blk", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"from_{c}") for c in cols])
+    inside = Window.partitionBy("entity", "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(inside).alias(f"in_{c}") for c in cols]).join(carried, ["entity", "blk"])
+    return local.select(*rows.columns, *[(F.col(f"from_{c}") + F.col(f"in_{c}")).alias(f"sum_{c}") for c in cols])
+
+
+def interval_clusters(df: DataFrame, entity: str, beg: str, end: str, block: int = BLOCK) -> DataFrame:
     """(entity, beg, end, n): periods of intervals that strictly overlap, with the number of intervals in each.
 
-    Touching intervals stay apart here. Islands over the running maximum of the
-    ends; for entities of bounded size (an entity is one window).
+    Touching intervals stay apart here: a cluster begins where an interval begins and
+    none that began before goes on. The sweep runs in blocks, so no entity is one
+    window. Null ends, null entities and empty intervals are left out.
     """
-    rows = df.filter(F.col(beg).isNotNull() & F.col(end).isNotNull() & F.col(entity).isNotNull() & (F.col(beg) != F.col(end))).select(
-        F.col(entity).alias("entity"), F.least(beg, end).cast("bigint").alias("beg"), F.greatest(beg, end).cast("bigint").alias("end")
-    )
-    order = Window.partitionBy("entity").orderBy("beg", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("reach").isNull() | (F.col("beg") >= F.col("reach")), 1).otherwise(0)
-    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.withColumn("reach", reach)
-        .withColumn("fresh", fresh)
-        .withColumn("island", island)
-        .groupBy("entity", "island")
-        .agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count("*").alias("n"))
-        .drop("island")
+    lo, hi = F.least(beg, end).cast("bigint"), F.greatest(beg, end).cast("bigint")
+    whole = df.filter(F.col(beg).isNotNull() & F.col(end).isNotNull() & F.col(entity).isNotNull() & (F.col(beg) != F.col(end)))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    both = F.array(F.struct(lo.alias("pos"), one.alias("opens"), none.alias("shuts")), F.struct(hi.alias("pos"), none.alias("opens"), one.alias("shuts")))
+    events = whole.select(F.col(entity).alias("entity"), F.explode(both).alias("e")).groupBy("entity", F.col("e.pos").alias("pos")).agg(F.sum("e.opens").alias("opens"), F.sum("e.shuts").alias("shuts"))
+    swept = stored(_with_previous(_running(events.withColumn("blk", F.floor(F.col("pos") / block)), "opens", "shuts"), "pos"))
+    before = F.col("sum_opens") - F.col("opens")  # intervals that began before pos
+    starts = swept.filter((F.col("opens") > 0) & (before == F.col("sum_shuts"))).select(
+        "entity", "blk", "pos", before.alias("before"), F.when(F.col("shuts") > 0, F.col("pos")).otherwise(F.col("prev_pos")).alias("last")
     )
+    ends = swept.groupBy("entity").agg(F.max("blk").alias("blk"), F.max("pos").alias("pos"), F.max("sum_opens").alias("before")).withColumn("last", F.col("pos"))
+    closed = _with_previous(stored(starts.unionByName(ends)), "pos", "before").filter("prev_pos is not null")
+    return closed.select("entity", F.col("prev_pos").alias("beg"), F.col("last").alias("end"), (F.col("before") - F.col("prev_before")).alias("n"))
+
+
+def seed_islands(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """rows(entity, pos, n), distinct positions, with `island`: a number that changes where the next position lies `radius` or more away."""
+    at = _with_previous(stored(rows.withColumn("blk", F.floor(F.col("pos") / block))), "pos")
+    fresh = F.when(F.col("prev_pos").isNull() | (F.col("pos") - F.col("prev_pos") >= radius), 1).otherwise(0)
+    return _running(at.withColumn("fresh", fresh), "fresh").select("entity", "pos", "n", F.col("sum_fresh").alias("island"))
 
 
 def accurate_enough(accuracy: str | Column, percent: float) -> Column:

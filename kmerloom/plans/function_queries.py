@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna
+from kmerloom.operators import hammer
 from kmerloom.plans import common
 from kmerloom.plans.registry import Registry
 from kmerloom.plans.sql import LISTED, READS, plain_complexity, rc
@@ -59,13 +60,11 @@ def lmers_of_ktmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query(
     "hamming_neighbours",
-    f"""WITH {LISTED} SELECT a.kmer AS a, b.kmer AS b, CAST(hamming(a.kmer, b.kmer) AS INT) AS distance FROM listed a JOIN listed b ON left(a.kmer, 9) = left(b.kmer, 9) AND a.kmer < b.kmer""",
+    f"""WITH {LISTED} SELECT a.kmer AS a, b.kmer AS b, CAST(hamming(a.kmer, b.kmer) AS INT) AS distance FROM listed a JOIN listed b ON a.kmer < b.kmer AND length(a.kmer) = length(b.kmer) AND hamming(a.kmer, b.kmer) <= 2""",
 )
 def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of listed kt-mers that begin alike."""
-    own = common.listed(spark, sf_dir).withColumn("half", F.substring("kmer", 1, 9))
-    pairs = own.select("half", F.col("kmer").alias("a")).join(own.select("half", F.col("kmer").alias("b")), "half").filter("a < b")
-    return pairs.select("a", "b", dna.hamming("a", "b").alias("distance"))
+    """Listed kt-mers that differ in two places at most."""
+    return hammer.hamming_pairs(common.listed(spark, sf_dir), "kmer", 2)
 
 
 @REG.query(
