@@ -52,6 +52,15 @@ def kmer_rows(df: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
     )
 
 
+def kmer_rows_of(df: DataFrame, seq: str, ks: list[int], *keep: str) -> DataFrame:
+    """(*keep, k, pos, kmer): the rows of kmer_rows for several lengths, cut at one pass over the places."""
+    raw = F.encode(F.upper(seq), "UTF-8")
+    cut = df.filter(F.length(seq) >= min(ks)).select(*keep, raw.alias("_raw"))
+    places = cut.select(*keep, "_raw", F.explode(F.sequence(F.lit(0), F.length("_raw") - min(ks))).alias("pos"))
+    each = places.select(*keep, "_raw", "pos", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).filter("pos + k <= length(_raw)")
+    return each.select(*keep, "k", "pos", F.expr("decode(substring(_raw, pos + 1, k), 'UTF-8')").alias("kmer"))
+
+
 def deletions(kmer: str | Column, times: int = 1) -> Column:
     """Distinct strings after `times` deletions of one base."""
     out = F.array(_col(kmer))

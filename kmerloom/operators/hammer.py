@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.dna import hamming, indel_neighbours, kmer_rows, proper_deletions, proper_insertions
+from kmerloom.functions.dna import hamming, indel_neighbours, kmer_rows_of, proper_deletions, proper_insertions
 from kmerloom.session import stored
 
 
 def degrees(reads: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
     """(kmer, degree): occurrences in the reads of the (k-1)- and (k+1)-mers one proper indel away."""
-    counts = kmer_rows(reads, "seq", k - 1).select("kmer").unionByName(kmer_rows(reads, "seq", k + 1).select("kmer")).groupBy("kmer").agg(F.count("*").alias("t"))
+    counts = kmer_rows_of(reads, "seq", [k - 1, k + 1]).groupBy("kmer").agg(F.count("*").alias("t"))
     variants = kmers.select("kmer", F.explode(F.concat(proper_deletions("kmer"), proper_insertions("kmer"))).alias("variant"))
     hits = variants.join(counts.withColumnRenamed("kmer", "variant"), "variant").groupBy("kmer").agg(F.sum("t").alias("degree"))
     return kmers.select("kmer").join(hits, "kmer", "left").select("kmer", F.coalesce("degree", F.lit(0)).alias("degree"))

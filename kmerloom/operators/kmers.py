@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.dna import is_low_complexity, is_palindrome, kmer_rows, read_id
+from kmerloom.functions.dna import is_low_complexity, is_palindrome, kmer_rows, kmer_rows_of, read_id
 from kmerloom.session import broadcast_if_small, one_row_per_key, stored
 
 
@@ -22,11 +22,7 @@ def kmer_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 def multi_k_counts(reads: DataFrame, ks: list[int]) -> DataFrame:
     """(k, kmer, t) for several k in one pass."""
-    rows = [kmer_rows(reads, "seq", k).select(F.lit(k).alias("k"), "kmer") for k in ks]
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("k", "kmer").agg(F.count("*").alias("t"))
+    return kmer_rows_of(reads, "seq", ks).groupBy("k", "kmer").agg(F.count("*").alias("t"))
 
 
 def choose_ktmers(counts: DataFrame, t_min: int, t_max: int | None = None, palindromes: bool = False, low_complexity: bool = False) -> DataFrame:
