@@ -128,29 +128,36 @@ class SubjectGraph:
         if nodes is not None:
             both, own = both.join(nodes, "node"), [*own, "reach"]
         x = both.selectExpr(*own, *self.each("q# * sqrt(q#) * p# * m#" if nodes is not None else "p# * m#", "y"))
-        return x.selectExpr(*own, *self.each(f"y# / ({self.total('y#')} + 1e-12D)", "y"))
+        return x.selectExpr("*", f"{self.total('y#')} + 1e-12D as total").selectExpr(*own, *self.each("y# / total", "y"))
+
+    def _row(self, shares: DataFrame) -> DataFrame:
+        """The one row of shares as a table that costs no job, even ones if there are none."""
+        row = [x if x is not None and x == x else 1 / len(self.n) for x in shares.first()]
+        return shares.sparkSession.createDataFrame([row], ", ".join(f"t{c} double" for c in self.n))
 
     def _sent(self, cells: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(nodes, prior): nodes(node, q*, reach) after the shares of the cells went along the edges, and the shares of all as one row t*."""
+        """(nodes, prior): nodes(node, q*, reach) after the shares of the cells went along the edges, and the shares of all."""
         start = stored(self._summed(cells, "node", *self.each("sum(n * weight * y#)", "f")))
         now = start
         for _ in range(HOPS):
             got = self._summed(edges.join(now, edges["src"] == now["node"]), "dst", *self.each("sum(part * f#)", "g")).withColumnRenamed("dst", "node")
             now = start.join(got, "node", "full").selectExpr("node", *self.each(f"coalesce(f#, 0D) + {BETA}D * coalesce(g#, 0D)", "f"))
         now = stored(now)
-        prior = self._summed(now, None, *self.each("sum(f#)", "f")).selectExpr(*self.each(f"(f# + 1e-9D) / {self.total('f#')}", "t"))
-        total = self.total("f#")
-        nodes = now.crossJoin(F.broadcast(prior)).selectExpr("node", *self.each(f"(f# + {NODE_PRIOR}D * t#) / ({total} + {NODE_PRIOR}D)", "q"), f"{total} / ({total} + {NODE_PRIOR}D) as reach")  # one row
+        total = f"{self.total('f#')} as total"
+        prior = self._summed(now, None, *self.each("sum(f#)", "f")).selectExpr("*", total).selectExpr(*self.each("(f# + 1e-9D) / total", "t"))
+        prior = self._row(prior)
+        nodes = now.selectExpr("*", total).crossJoin(F.broadcast(prior)).selectExpr("node", *self.each(f"(f# + {NODE_PRIOR}D * t#) / (total + {NODE_PRIOR}D)", "q"), f"total / (total + {NODE_PRIOR}D) as reach")
         return nodes, prior
 
     def _documents(self, cells: DataFrame, place: DataFrame, prior: DataFrame) -> DataFrame:
         """place with the shares p* of each document from its cells, clamped to its subjects, and its weight: the part of its passages that is reached."""
         sums = self._summed(cells, "doc", *self.each("sum(n * reach * y#)", "f"))
-        total = self.total("coalesce(f#, 0D)")
         fixed = ["doc", "lang", "seed", "trusted", "n_passages", *[f"m{c}" for c in self.n]]
-        share = f"(coalesce(f#, 0D) + {DOCUMENT_PRIOR}D * coalesce(t#, {1 / len(self.n)}D)) / ({total} + {DOCUMENT_PRIOR}D)"
-        raw = place.select(*fixed).join(sums, "doc", "left").crossJoin(F.broadcast(prior)).selectExpr(*fixed, f"if(seed, 1D, {total} / (n_passages + 1)) as weight", *self.each(f"greatest({share} * m#, 1e-3D * m#)", "p"))
-        return raw.selectExpr(*fixed, "weight", *self.each(f"p# / {self.total('p#')}", "p"))
+        own = place.select(*fixed).join(sums, "doc", "left").selectExpr(*fixed, *self.each("coalesce(f#, 0D)", "f"))
+        own = own.selectExpr("*", f"{self.total('f#')} as total").crossJoin(F.broadcast(prior))
+        share = f"(f# + {DOCUMENT_PRIOR}D * t#) / (total + {DOCUMENT_PRIOR}D)"
+        raw = own.selectExpr(*fixed, "if(seed, 1D, total / (n_passages + 1)) as weight", *self.each(f"greatest({share} * m#, 1e-3D * m#)", "p"))
+        return raw.selectExpr("*", f"{self.total('p#')} as total").selectExpr(*fixed, "weight", *self.each("p# / total", "p"))
 
     def _named(self, rows: DataFrame, cells: DataFrame, place: DataFrame, nodes: DataFrame) -> DataFrame:
         """(doc, s, active, q*, agree): the shares of every passage, and how far they agree with its document's."""
@@ -183,7 +190,7 @@ class SubjectGraph:
             edges = stored(edges.join(degree, "src").select("src", "dst", (F.col("overlap") / (1 + F.col("d"))).alias("part")))
             cells = stored(rows.groupBy("doc", "node").agg(F.count("*").alias("n")))
             counts = cells.groupBy("doc").agg(F.sum("n").alias("n_passages"))
-            place = stored(state.join(counts, "doc").selectExpr("*", "cast(seed as double) as weight", *self.each(f"m# / {self.total('m#')}", "p")))
+            place = stored(state.join(counts, "doc").selectExpr("*", f"{self.total('m#')} as total").selectExpr(*state.columns, "n_passages", "cast(seed as double) as weight", *self.each("m# / total", "p")))
             nodes = None
             for _ in range(n_rounds):
                 heard = place.filter("seed") if nodes is None else place
@@ -194,7 +201,7 @@ class SubjectGraph:
                 told = self._named(rows, cells, live, nodes).filter("active").drop("active", "agree")
                 # passages that weren't reached speak about what their document does; a labelled one's, rather about those of its subjects that few others do
                 rest = "m# * (1 - 0.8D * p#)"
-                mine = live.selectExpr("doc", "lang", *self.each(f"if(seed, {rest} / {self.total(rest)}, p#)", "p"))
+                mine = live.selectExpr("*", f"{self.total(rest)} as total").selectExpr("doc", "lang", *self.each(f"if(seed, {rest} / total, p#)", "p"))
                 known = full.join(mine, "doc").join(told, ["doc", "s"], "left").selectExpr("lang", "terms", *self.each("cast(coalesce(q#, p#) as float)", "q"))
                 content = self._content(known, live.selectExpr("lang", *self.each("p#", "q")))
         # seeds of one annotator may be wrong or incomplete: at last only trusted ones bind their document
