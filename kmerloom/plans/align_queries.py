@@ -26,10 +26,14 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of any length that share kt-mers, with their sequences, spread over tasks of CELLS or fewer steps of alignment each on average."""
     own = common.reads(spark, sf_dir).select("read_idx", "seq")
-    pairs = _near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour"))).select("base", "neighbour")
-    found = stored(pairs.join(own.select(F.col("read_idx").alias("base"), F.col("seq").alias("s1")), "base").join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour"))
-    cells = found.agg(F.sum(F.length("s1").cast("double") * F.length("s2"))).first()[0] or 0
-    return found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells // CELLS) + 1), "base", "neighbour")
+    pairs = stored(_near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour"))).select("base", "neighbour"))
+    sizes = own.select("read_idx", F.length("seq").cast("double").alias("n"))
+    sized = pairs.join(sizes.select(F.col("read_idx").alias("base"), F.col("n").alias("n1")), "base").join(sizes.select(F.col("read_idx").alias("neighbour"), F.col("n").alias("n2")), "neighbour")
+    cells = sized.agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells // CELLS) + 1)
+    # the sequences of the neighbours are the only ones that are moved once a pair
+    right = pairs.join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour").repartition(tasks, "base")
+    return right.join(own.select(F.col("read_idx").alias("base"), F.col("seq").alias("s1")).repartition(tasks, "base"), "base").select("base", "neighbour", "s1", "s2")
 
 
 def _aligned(spark: SparkSession, sf_dir: str, fitting: bool) -> DataFrame:

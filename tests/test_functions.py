@@ -102,8 +102,7 @@ def test_alignment_columns(spark):
 
 
 def test_consensus_restores_a_noisy_sequence():
-    import numpy as np
-
+    
     rng = np.random.default_rng(7)
     truth = "".join(rng.choice(list("ACGT"), 100))
     noisy = ["".join("" if rng.random() < 0.02 else c + (rng.choice(list("ACGT")) if rng.random() < 0.02 else "") for c in truth) for _ in range(12)]
@@ -113,3 +112,22 @@ def test_consensus_restores_a_noisy_sequence():
     assert align.consensus_tree(reads) == (None, 0, False)
     same = ["".join(rng.choice(list("ACGT"), 500))] * 6
     assert align.consensus_tree(same) == (same[0], 6, True)
+
+
+def slow_common_rows(a, b):
+    t = [[0] * (len(b) + 1)]
+    for i, x in enumerate(a):
+        t.append([0])
+        for j, y in enumerate(b):
+            t[-1].append(max(t[i][j] + (x == y), t[i][j + 1], t[-1][j]))
+    return t
+
+
+@settings(max_examples=60, deadline=None)
+@given(DNA, DNA)
+def test_rows_of_bits(a, b):
+    t, rows = slow_common_rows(a, b), align.lcs_table(align._bytes(a), align._bytes(b))
+    for i in range(len(a) + 1)[::-1]:
+        row = rows.one(i)
+        assert isinstance(row, int) and [int(not row >> j & 1) for j in range(len(b))] == [y - x for x, y in zip(t[i], t[i][1:])]
+    assert align.common_length(a, b) == t[-1][-1]
