@@ -53,9 +53,8 @@ def fitting_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.query("subsequences")
 def subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of the longest common subsequence, shortest common supersequence and longest common substring, and the anchored score."""
-    return _pairs(spark, sf_dir).select(
-        "base", "neighbour", F.length(align.lcs("s1", "s2")).alias("lcs"), F.length(align.scs("s1", "s2")).alias("scs"), F.length(align.longest_substring("s1", "s2")).alias("substring"), align.linear_score("s1", "s2").alias("score")
-    )
+    own = _pairs(spark, sf_dir).withColumn("lcs", align.lcs_length("s1", "s2"))
+    return own.select("base", "neighbour", "lcs", (F.length("s1") + F.length("s2") - F.col("lcs")).alias("scs"), F.length(align.longest_substring("s1", "s2")).alias("substring"), align.linear_score("s1", "s2").alias("score"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:

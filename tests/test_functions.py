@@ -155,3 +155,14 @@ def test_pairs_side_by_side_are_as_alone(fitting, monkeypatch):
     assert align.affine_all(*zip(*pairs), fitting) == want
     many = [("".join(map(chr, range(60, 100))), "".join(map(chr, range(65, 99))))]  # too many letters
     assert align.affine_all(*zip(*many), fitting) == [align.affine(*many[0], fitting=fitting)]
+
+
+def test_anchored_scores_side_by_side_are_as_alone():
+    pairs = relatives(8, 60)
+    assert align.anchored_all(*zip(*pairs)) == [align.anchored_score(a, b) for a, b in pairs]
+
+
+def test_stretches_that_come_often():
+    for a, b in (("A" * 300, "A" * 200), ("ACGTTGCA" * 9, "TTTT" + "ACGTTGCA" * 7), ("GATTACAGATTACA" + "CCCC", "CCCCGATTACAGATTACC")):
+        every = [a[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b] if len(a) < 100 else [a[:200]]
+        assert align.common_substring(a, b) == max(every, key=len)
