@@ -295,25 +295,34 @@ def layout(alignments: DataFrame) -> DataFrame:
     """
     ins = T.ArrayType(T.StructType([T.StructField("p", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
+    @F.pandas_udf(T.BinaryType())
+    def gaps(rows: pd.Series) -> pd.Series:
+        return pd.Series([np.packbits(np.frombuffer(r.encode("latin-1", "replace"), np.uint8) == ord("-")).tobytes() for r in rows])
+
+    def gap_row(bits: bytes, n: int) -> str:
+        return (np.unpackbits(np.frombuffer(bits, np.uint8), count=n) * ord("-")).tobytes().decode("latin-1")
+
     @F.pandas_udf(ins)
-    def places(rows: pd.Series, begs: pd.Series) -> pd.Series:
-        return pd.Series([[{"p": p, "n": n} for p, n in _inserted(r, b).items()] for r, b in zip(rows, begs)])
+    def places(rows: pd.Series, sizes: pd.Series, begs: pd.Series) -> pd.Series:
+        return pd.Series([[{"p": p, "n": n} for p, n in _inserted(gap_row(r, n), b).items()] for r, n, b in zip(rows, sizes, begs)])
 
     @F.pandas_udf(T.StringType())
-    def lines(begs: pd.Series, q: pd.Series, t: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series([layout_line(b, x, y, {w["p"]: w["w"] for w in ws}) for b, x, y, ws in zip(begs, q, t, widths)])
+    def lines(begs: pd.Series, q: pd.Series, t: pd.Series, sizes: pd.Series, widths: pd.Series) -> pd.Series:
+        return pd.Series([layout_line(b, x, gap_row(y, n), {w["p"]: w["w"] for w in ws}) for b, x, y, n, ws in zip(begs, q, t, sizes, widths)])
 
-    rows = stored(alignments.select("target", "row", F.col("t_beg").cast("int").alias("t_beg"), "q_aligned", "t_aligned").dropna())
-    bases = F.length(F.translate("t_aligned", "-", ""))
+    # of the target's row only the places of its gaps are kept, a bit for each column
+    made = alignments.select("target", "row", F.col("t_beg").cast("int").alias("t_beg"), "q_aligned", "t_aligned").dropna()
+    rows = stored(made.select("target", "row", "t_beg", "q_aligned", F.length("t_aligned").alias("size"), F.length(F.translate("t_aligned", "-", "")).alias("bases"), gaps("t_aligned").alias("gaps")), "zstd")
+    bases = F.col("bases")
     block = F.floor(F.col("p") / _BLOCK)
     covered = rows.select("target", "row", F.explode(F.sequence(F.floor(F.col("t_beg") / _BLOCK), F.floor((F.col("t_beg") + bases) / _BLOCK))).alias("block"))
-    width = rows.select("target", F.explode(places("t_aligned", "t_beg")).alias("x")).select("target", "x.*").groupBy("target", "p").agg(F.max("n").alias("w"))
+    width = rows.select("target", F.explode(places("gaps", "size", "t_beg")).alias("x")).select("target", "x.*").groupBy("target", "p").agg(F.max("n").alias("w"))
     of_block = width.groupBy("target", block.alias("block")).agg(F.collect_list(F.struct("p", "w")).alias("ws"), F.sum("w").alias("s"))
     order = Window.partitionBy("target").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     blocks = covered.select("target", "block").distinct().join(of_block, ["target", "block"], "left").withColumn("before", F.coalesce(F.sum("s").over(order), F.lit(0)))
     own = covered.join(blocks, ["target", "block"]).groupBy("target", "row").agg(F.flatten(F.collect_list("ws")).alias("ws"), F.min("before").alias("before"))
     ahead = F.expr("aggregate(filter(ws, x -> x.p < t_beg), 0L, (s, x) -> s + x.w)")
-    return rows.join(own, ["target", "row"]).select("target", "row", (F.col("t_beg") + F.col("before") + ahead).alias("offset"), lines("t_beg", "q_aligned", "t_aligned", "ws").alias("line"))
+    return rows.join(own, ["target", "row"]).select("target", "row", (F.col("t_beg") + F.col("before") + ahead).alias("offset"), lines("t_beg", "q_aligned", "gaps", "size", "ws").alias("line"))
 
 
 def merge_by_place(contigs: DataFrame, ktmers: DataFrame, k: int, most: int, width: int = 1000, most_rounds: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import align
-from kmerloom.operators import consensus, nhood
+from kmerloom.operators import consensus, kmers, nhood
 from kmerloom.plans import common
 from kmerloom.plans.registry import Registry
 from kmerloom.plans.sql import READS
@@ -25,7 +25,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of any length that share kt-mers, with their sequences, spread over tasks of CELLS or fewer steps of alignment each on average."""
-    own = common.reads(spark, sf_dir).select("read_idx", "seq")
+    own = kmers.reads_of(table(spark, sf_dir, "fasta_reads")).select("read_idx", "seq")  # the joins spread them
     pairs = stored(_near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour"))).select("base", "neighbour"))
     sizes = own.select("read_idx", F.length("seq").cast("double").alias("n"))
     sized = pairs.join(sizes.select(F.col("read_idx").alias("base"), F.col("n").alias("n1")), "base").join(sizes.select(F.col("read_idx").alias("neighbour"), F.col("n").alias("n2")), "neighbour")

@@ -168,3 +168,13 @@ def test_contigs_merge_by_place(spark):
     got = {r.id: (r.beg, r.end, r.seq) for r in assembly.merge_by_place(df, kt, 8, 20).collect()}
     assert got == {1: (0, 300, g), 5: (500, 520, "ACGT" * 5)}
     assert assembly.merge_by_place(df.limit(0), kt, 8, 20).count() == 0
+
+
+def test_layout_rows_keep_gaps_as_bits(spark, monkeypatch):
+    from kmerloom.operators import assembly
+
+    kept = []
+    monkeypatch.setattr(assembly, "stored", lambda df, compression="snappy": kept.append((df.columns, compression)) or df)
+    rows = spark.createDataFrame([(1, 2, 0, "A-CGTTTTTTT", "ATCG-------"), (1, 3, 0, "AGT", "AT-")], "target long, row long, t_beg int, q_aligned string, t_aligned string")
+    got = {r.row: (r.offset, r.line) for r in assembly.layout(rows).collect()}
+    assert got == {2: (0, "A--CGTTTTTTT"), 3: (0, "AGT")} and "t_aligned" not in kept[0][0] and kept[0][1] == "zstd"
