@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from kmerloom.operators import evaluate
+from kmerloom.operators import evaluate, nhood
 from kmerloom.operators.evaluate import low_coverage_runs, seed_clusters, support_percentile
 from kmerloom.operators.hammer import hamming_pairs
 from kmerloom.operators.intervals import interval_clusters, seed_islands
@@ -83,3 +83,19 @@ def test_near_kmers_against_all_pairs(spark):
         want = {(a, b, far(a, b)) for a, b in combinations(sorted(kmers), 2) if len(a) == len(b) and far(a, b) <= most}
         got = list(map(tuple, hamming_pairs(df, "kmer", most).collect()))
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reads_by_edges_moves_no_row_of_its_result(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    postings = [("hot", f"r{i}") for i in range(400)] + [("warm", f"r{i}") for i in range(200, 500)] + [(f"k{i}", f"r{j}") for i in range(50) for j in set(rng.integers(0, 500, 5).tolist())]
+    edges = [(f"s{i}", k, 1) for i in range(60) for k in ("hot", "warm", "none", None, *(f"k{j}" for j in rng.integers(0, 60, 4)))][: -8 * 20] + [(f"t{i}", f"k{i}", 1) for i in range(50)] + [("t0", "k0", 2), ("u", "none", 1), (None, "hot", 1)]
+    of = {}
+    for k, r in postings:
+        of.setdefault(k, set()).add(r)
+    want = {(s, r) for s, k, _ in edges if s for r in of.get(k, ())}
+    monkeypatch.setattr(nhood, "AT_ONCE", 1000)
+    df = nhood.reads_by_edges(spark.createDataFrame(edges, "src string, dst string, dist int"), spark.createDataFrame(postings, "kmer string, read_id string"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) > 15_000 and set(got) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")  # nothing is shuffled once the pairs are made
