@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,42 @@ def nhood_reads(near: DataFrame, reads: DataFrame, shortest: int, longest: int,
     return kept.join(fitting.withColumnRenamed("read_idx", "neighbour"), "neighbour").select("base", "rank", "seq")
 
 
+def undecided(pairs: DataFrame, joined: DataFrame, forest: bool) -> DataFrame:
+    """The rows of pairs(base, neighbour, cells, cost) between groups of joined(base, neighbour); with forest, the cheapest of them that join all that can be joined.
+
+    One task takes the numbers of all pairs (32 bytes each), which is little beside an
+    alignment of each.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = list(batches)
+        if not kept:
+            return
+        rows = pa.Table.from_batches(kept)
+        ends, at = np.unique(np.concatenate([rows[c].to_numpy() for c in ("base", "neighbour")]), return_inverse=True)
+        a, b = at[: len(rows)].tolist(), at[len(rows) :].tolist()
+        group = list(range(len(ends)))
+
+        def root(x: int) -> int:
+            while group[x] != x:
+                group[x] = x = group[group[x]]
+            return x
+
+        out, cost = [], rows["cost"].to_numpy()
+        for i in np.lexsort((rows["neighbour"].to_numpy(), rows["base"].to_numpy(), cost)).tolist():  # what is joined comes first
+            x, y = root(a[i]), root(b[i])
+            if x != y:
+                if forest or cost[i] < 0:
+                    group[y] = x
+                if cost[i] >= 0:
+                    out.append(i)
+        yield from rows.take(pa.array(out, pa.int64())).to_batches()
+
+    known = joined.select("base", "neighbour", F.lit(0.0).alias("cells"), F.lit(-1.0).alias("cost"))
+    every = pairs.select("base", "neighbour", "cells", "cost").unionByName(known)
+    return every.repartition(1).mapInArrow(work, every.schema)
+
+
 def tree_consensus(groups: DataFrame, seed: int = 1129, groups_of: int = 4) -> DataFrame:
     """(base, consensus, n_support, accepted) of each group of nhood_reads."""
 

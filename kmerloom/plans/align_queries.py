@@ -16,26 +16,43 @@ REG = Registry()
 T_MAX, SHARED = 55, 4
 #: Lengths between which a read is used for the consensus.
 SHORTEST, LONGEST = 450, 550
-CELLS = 6_000_000_000
+CELLS = 3_000_000_000
+#: Length that a local alignment must exceed to join two reads, and rounds in which a spanning forest is aligned.
+LONG, FORESTS = 400, 3
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nhood.neighbours(common.creads(spark, sf_dir), T_MAX)
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of any length that share kt-mers, with their sequences, spread over tasks of CELLS or fewer steps of alignment each on average."""
-    own = kmers.reads_of(table(spark, sf_dir, "fasta_reads")).select("read_idx", "seq")  # the joins spread them
-    pairs = stored(_near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour"))).select("base", "neighbour"))
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.reads_of(table(spark, sf_dir, "fasta_reads")).select("read_idx", "seq")  # the joins spread them
+
+
+def _sized(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with the lengths n1 and n2 of their reads."""
     sizes = own.select("read_idx", F.length("seq").cast("double").alias("n"))
-    sized = pairs.join(sizes.select(F.col("read_idx").alias("base"), F.col("n").alias("n1")), "base").join(sizes.select(F.col("read_idx").alias("neighbour"), F.col("n").alias("n2")), "neighbour")
-    cells = sized.agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(cells // CELLS) + 1)
+    return pairs.join(sizes.select(F.col("read_idx").alias("base"), F.col("n").alias("n1")), "base").join(sizes.select(F.col("read_idx").alias("neighbour"), F.col("n").alias("n2")), "neighbour")
+
+
+def _with_sequences(own: DataFrame, pairs: DataFrame, cells: float) -> DataFrame:
+    """(base, neighbour, s1, s2), spread over tasks of CELLS or fewer of the `cells` steps of alignment each on average."""
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(cells // CELLS) + 1)
     # the sequences of the neighbours are the only ones that are moved once a pair
-    right = pairs.join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour").repartition(tasks, "base")
+    right = pairs.select("base", "neighbour").join(own.select(F.col("read_idx").alias("neighbour"), F.col("seq").alias("s2")), "neighbour").repartition(tasks, "base")
     return right.join(own.select(F.col("read_idx").alias("base"), F.col("seq").alias("s1")).repartition(tasks, "base"), "base").select("base", "neighbour", "s1", "s2")
 
 
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).filter((F.col("n_shared") >= SHARED) & (F.col("base") < F.col("neighbour")))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of any length that share kt-mers, with their sequences."""
+    own, pairs = _reads(spark, sf_dir), stored(_near_pairs(spark, sf_dir).select("base", "neighbour"))
+    return _with_sequences(own, pairs, _sized(own, pairs).agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] or 0)
+
+
 def _aligned(spark: SparkSession, sf_dir: str, fitting: bool) -> DataFrame:
     return _pairs(spark, sf_dir).select("base", "neighbour", align.alignment(fitting)("s1", "s2").alias("a")).select("base", "neighbour", "a.*")
 
@@ -74,11 +91,27 @@ def multi_align_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.query("cluster_by_alignment")
 def cluster_by_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads in groups joined by local alignments longer than 400."""
+    """Reads in groups joined by local alignments longer than LONG.
+
+    A pair within one group tells nothing, so only a spanning forest of the pairs is
+    aligned, the cheapest first; then one of those that still lie between groups. After
+    FORESTS rounds all pairs between groups that are left are aligned at once.
+    """
     from kmerloom.operators.graph import components
 
-    long = _aligned(spark, sf_dir, False).filter("align_len > 400").select(F.col("base").alias("src"), F.col("neighbour").alias("dst"))
-    return components(stored(long)).groupBy("component").agg(F.count("*").alias("n_reads"))
+    own = _reads(spark, sf_dir)
+    short = F.when(F.least("n1", "n2") <= LONG, 1e18).otherwise(0.0)  # an alignment of these is seldom long
+    left = stored(_sized(own, _near_pairs(spark, sf_dir)).select("base", "neighbour", (F.col("n1") * F.col("n2")).alias("cells"), (short + F.col("n1") * F.col("n2") / F.col("n_shared")).alias("cost")))
+    joined = left.select("base", "neighbour").limit(0)
+    for i in range(FORESTS + 1):
+        chosen = stored(consensus.undecided(left, joined, forest=i < FORESTS))
+        n, cells = chosen.agg(F.count("*"), F.sum("cells")).first()
+        if not n:
+            break
+        rows = _with_sequences(own, chosen, cells).select("base", "neighbour", align.alignment()("s1", "s2")["align_len"].alias("n"))
+        joined = joined.unionByName(stored(rows.filter(F.col("n") > LONG).select("base", "neighbour")))
+        left = left.join(chosen.select("base", "neighbour"), ["base", "neighbour"], "left_anti")
+    return components(joined.select(F.col("base").alias("src"), F.col("neighbour").alias("dst"))).groupBy("component").agg(F.count("*").alias("n_reads"))
 
 
 _OK = "CASE WHEN accuracy <= 1 THEN accuracy > 0.8 ELSE accuracy > 80 END AND NOT isnan(accuracy)"

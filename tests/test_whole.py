@@ -55,6 +55,26 @@ def test_long_pairs_need_little_memory():
     tracemalloc.stop()
 
 
+@pytest.mark.parametrize("forests", [0, 1, 3])
+def test_clusters_align_only_pairs_between_groups(spark, tmp_path, monkeypatch, forests):
+    from kmerloom.plans import align_queries as q
+
+    rng = np.random.default_rng(7)
+    genomes = [dna(rng, 2600), dna(rng, 1500)]
+    own = {10 * g + i: genomes[g][b : b + 900] for g, begins in enumerate([(0, 80, 160, 240, 320, 1100, 1650), (0, 100, 600)]) for i, b in enumerate(begins)}
+    begun = {10 * g + i: b for g, begins in enumerate([(0, 80, 160, 240, 320, 1100, 1650), (0, 100, 600)]) for i, b in enumerate(begins)}
+    kts = {i: [(p, genomes[i // 10][p : p + 20]) for p in range(0, 2580, 20) if begun[i] <= p <= begun[i] + 880 and p + 20 <= len(genomes[i // 10])] for i in own}
+    sf = tables(spark, tmp_path, [(i, f">r{i}", x) for i, x in own.items()], [(i, f"r{i}", [k for _, k in x], [x[0][0] - begun[i]] + [20] * (len(x) - 1) + [40]) for i, x in kts.items()])
+    monkeypatch.setattr(q, "FORESTS", forests)
+    asked, keep = [], q._with_sequences
+    monkeypatch.setattr(q, "_with_sequences", lambda reads, pairs, cells: asked.extend(tuple(r)[:2] for r in pairs.collect()) or keep(reads, pairs, cells))
+    found = {r.component: r.n_reads for r in q.cluster_by_alignment(spark, sf).collect()}
+    tried = list(asked)
+    everything = graph.components(q._aligned(spark, sf, False).filter("align_len > 400").selectExpr("base as src", "neighbour as dst")).groupBy("component").count()
+    assert found == {r.component: r["count"] for r in everything.collect()} and set(found.values()) >= {5, 2}
+    assert len(tried) == len(set(tried)) and (len(tried) < len(asked) - len(tried) if forests else len(tried) == len(asked) - len(tried))
+
+
 def test_walks_go_on_to_their_end(spark):
     chain = [(f"n{i}", f"n{i + 1}", 2) for i in range(100)] + [("n5", "side", 1), ("c0", "c1", 1), ("c1", "c2", 1), ("c2", "c1", 1), ("s", "s", 1)]
     starts = spark.createDataFrame([("n0",), ("n50",), ("c0",), ("s",), ("alone",)], "node string")
