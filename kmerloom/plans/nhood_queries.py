@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import kmer_rows
 from kmerloom.operators import hammer, nhood
-from kmerloom.operators.kmers import kmer_counts, postings_of
+from kmerloom.operators.kmers import kmer_counts, postings_of, reads_of
 from kmerloom.plans import common
 from kmerloom.plans.registry import Registry
-from kmerloom.plans.sql import CONTIGS, CREADS, LISTED, READS, kmers
+from kmerloom.plans.sql import CONTIG_LEN, CONTIGS, CREADS, LISTED, READS, kmers
 from kmerloom.session import table
 
 REG = Registry()
@@ -64,8 +64,8 @@ _SCORE = f"""{READS}, {CONTIGS}, {{base}}, {kmers(15)}, sc AS (SELECT c.contig A
 )
 def kmer_matching_top51(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads that match each contig best by 15-mers, 100 at least."""
-    base = common.contigs(spark, sf_dir).withColumnRenamed("contig", "read_idx")
-    return nhood.best_matches(nhood.matching_scores(common.reads(spark, sf_dir), base, 15), 100)
+    own = reads_of(table(spark, sf_dir, "fasta_reads"))
+    return nhood.best_matches(nhood.high_scores(own, own.filter(F.col("len") > CONTIG_LEN), 15, 100), 100)
 
 
 @REG.query(
