@@ -183,3 +183,44 @@ def test_aligned_places_are_those_of_the_rows(monkeypatch, kept):
         assert (t_row.replace("-", ""), q_row.replace("-", "")) == (a, b)
         for beg, end in ((10, 30), (0, 200), (30, 10), (5, 5)):
             assert align.aligned_places(a, b, beg, end) == region_walk(0, len(b), 0, q_row, t_row, False, beg, end)
+
+
+def noisy(rng, s, rate):
+    out = []
+    for c, x in zip(s, rng.random(len(s))):
+        out += [] if x < rate / 3 else ["ACGTN"[rng.integers(5)]] if x < rate * 2 / 3 else [c] + list("ACGT"[: rng.integers(1, 4)]) if x < rate else [c]
+    return "".join(out)
+
+
+def overlapping(seed, n):
+    """Pairs that overlap at an end, lie in each other, hold repeats or an insertion, or have nothing in common."""
+    rng = np.random.default_rng(seed)
+    dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+    for k in range(n):
+        g = dna(rng.integers(200, 800))
+        g = (g, g[:70] * 6, g + g[:90] + g)[k % 7 % 3 if k % 7 < 3 else 0]
+        x, y = sorted(rng.integers(0, len(g), 2))
+        a, b = noisy(rng, g[: y + 60], 0.15 * (k % 3)), noisy(rng, g[x // 2 :], 0.1)
+        b = b[:150] + dna(90) + b[150:] if k % 5 == 0 else dna(300) if k % 11 == 0 else b
+        yield ((dna(100) + a) if k % 4 == 0 else a, b)[:: 1 if k % 2 else -1]
+
+
+@pytest.mark.parametrize("places, looks", [(30_000, 32), (700, 32), (30_000, 16)])
+def test_alignments_within_bounds_are_those_of_the_whole_table(monkeypatch, places, looks):
+    pairs = list(overlapping(places + looks, 66))
+    monkeypatch.setattr(align, "NARROW", places)
+    monkeypatch.setattr(align, "LOOK", looks)
+    want = [align.affine(*p) for p in pairs]
+    made = align._local_all([tuple(x.encode() for x in p) for p in pairs])
+    assert len(made) > 20 and all(want[i] == x for i, x in made.items())
+    assert align.affine_all(*zip(*pairs)) == want
+
+
+def test_overlaps_need_no_whole_table(monkeypatch):
+    rng = np.random.default_rng(3)
+    g = "".join(rng.choice(list("ACGT"), 1500))
+    pairs = [(noisy(rng, g[:1100], 0.06), noisy(rng, g[100 * k :], 0.06)) for k in range(6)]
+    want = [align.affine(*p) for p in pairs]
+    monkeypatch.setattr(align, "_affine_together", None)
+    monkeypatch.setattr(align, "affine", None)
+    assert align.affine_all(*zip(*pairs)) == want
