@@ -7,13 +7,16 @@ successors are ranked by doubling pointers (graph.unitigs).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.functions.align import affine_span
+from kmerloom.functions.align import affine_span, gapped_rows
 from kmerloom.functions.dna import deletions, kmer_rows
 from kmerloom.operators import graph
 from kmerloom.operators.evaluate import not_contained, range_overlaps
@@ -325,6 +328,42 @@ def layout(alignments: DataFrame) -> DataFrame:
     return rows.join(own, ["target", "row"]).select("target", "row", (F.col("t_beg") + F.col("before") + ahead).alias("offset"), lines("t_beg", "q_aligned", "gaps", "size", "ws").alias("line"))
 
 
+def pair_lines(target: str, others: Iterable[str]) -> list[str]:
+    """The lines of layout() of sequences that are each aligned to the whole target."""
+    rows, widths = [], np.zeros(len(target) - target.count("-") + 1, np.int64)
+    for x in others:
+        t, q = gapped_rows(target, x)
+        bases = np.frombuffer(t.encode("latin-1", "replace"), np.uint8) != ord("-")
+        own = np.diff(np.flatnonzero(bases), prepend=-1, append=len(bases)) - 1  # inserted columns before each base, and behind the last
+        np.maximum(widths, own, out=widths)
+        rows.append((q, np.packbits(bases)))
+    out = []
+    for q, bits in rows:
+        bases = np.unpackbits(bits, count=len(q)).astype(bool)
+        own = np.diff(np.flatnonzero(bases), prepend=-1, append=len(bases)) - 1
+        moved = np.r_[0, np.cumsum((widths - own)[:-1])]
+        columns = np.arange(len(q)) + moved[np.cumsum(bases)]
+        line = np.full(columns[-1] + 1 if len(q) else 0, ord("-"), "<u4")
+        line[columns] = np.frombuffer(q.encode("utf-32-le"), "<u4")
+        out.append(line.tobytes().decode("utf-32-le"))
+    return out
+
+
+def pair_layout(pairs: DataFrame) -> DataFrame:
+    """(target, row, offset, line): layout() of pairs(base, neighbour, s1, s2), s2 aligned to the whole of s1, with all rows of a target made in one task.
+
+    Neither aligned rows nor widths are stored or moved. A target is held whole, so
+    its rows must be bounded, as those of reads are by their kt-mers.
+    """
+
+    def made(x: pa.Table) -> pa.Table:
+        lines = pair_lines(x["s1"][0].as_py(), (y.as_py() for y in x["s2"]))
+        return pa.table({"target": x["base"], "row": x["neighbour"], "offset": pa.array(np.zeros(len(lines), np.int64)), "line": pa.array(lines, pa.string())})
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("base", "neighbour", "s1", "s2").dropna().groupBy("base").applyInArrow(made, f"target {kinds['base']}, row {kinds['neighbour']}, offset bigint, line string")
+
+
 def merge_by_place(contigs: DataFrame, ktmers: DataFrame, k: int, most: int, width: int = 1000, most_rounds: int = 30) -> DataFrame:
     """contigs(id, beg, end, seq) merged where one's end overlaps another's begin by at most `most`, until none does; those inside others are dropped.
 

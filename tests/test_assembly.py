@@ -178,3 +178,22 @@ def test_layout_rows_keep_gaps_as_bits(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 2, 0, "A-CGTTTTTTT", "ATCG-------"), (1, 3, 0, "AGT", "AT-")], "target long, row long, t_beg int, q_aligned string, t_aligned string")
     got = {r.row: (r.offset, r.line) for r in assembly.layout(rows).collect()}
     assert got == {2: (0, "A--CGTTTTTTT"), 3: (0, "AGT")} and "t_aligned" not in kept[0][0] and kept[0][1] == "zstd"
+
+
+def test_pairs_are_laid_out_without_widths_for_each_row(spark):
+    rng = np.random.default_rng(14)
+    target, other = dna(rng, 1300), dna(rng, 40)
+    noisy = lambda x: "".join(c + (dna(rng, int(rng.integers(1, 4))) if rng.random() < 0.1 else "") for c in x if rng.random() > 0.1)
+    pairs = [(1, i, target, noisy(target[b:])) for i, b in enumerate((0, 0, 400, 900), 2)] + [(1, 9, target, "TT" + target + "GGG"), (3, 4, other, noisy(other)), (3, 5, other, ""), (5, 6, other, None)]
+    df = spark.createDataFrame(pairs, "base long, neighbour long, s1 string, s2 string").repartition(3)
+    rows = [(b, n, 0, *gapped_rows(x, y)[::-1]) for b, n, x, y in pairs if y is not None]
+    want = assembly.layout(spark.createDataFrame(rows, "target long, row long, t_beg int, q_aligned string, t_aligned string"))
+    made = assembly.pair_layout(df)
+    assert made.dtypes == want.dtypes and sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and len(rows) == 7
+
+
+def test_alignment_layout_joins_no_widths(spark):
+    from kmerloom.plans import assembly_queries
+
+    plan = assembly_queries.alignment_layout(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan
