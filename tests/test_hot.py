@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.operators import evaluate, nhood
 from kmerloom.operators.evaluate import low_coverage_runs, seed_clusters, support_percentile
@@ -99,3 +100,15 @@ def test_reads_by_edges_moves_no_row_of_its_result(spark, monkeypatch):
     assert len(got) == len(want) > 15_000 and set(got) == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Exchange")  # nothing is shuffled once the pairs are made
+
+
+def test_reads_by_edges_moves_a_posting_to_one_task(spark, monkeypatch):
+    monkeypatch.setattr(nhood, "TASK_READS", 50)
+    postings = spark.createDataFrame([(k, f"r{i}") for k in ("hot", "warm") for i in range(400)] + [("hot", "r1"), ("alone", "r2")], "kmer string, read_id string")  # rows can repeat
+    edges = spark.createDataFrame([(f"s{i}", k, 1) for i in range(60) for k in ("hot", "warm", "none")] + [("s0", "hot", 1)], "src string, dst string, dist int")
+    df = nhood.reads_by_edges(edges, postings)
+    assert sorted(map(tuple, df.collect())) == sorted((f"s{i}", f"r{j}") for i in range(60) for j in range(400))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "pmod(hash(read_id" in plan and "pmod(hash(src" not in plan
+    assert len({r.part for r in df.select("read_id", F.spark_partition_id().alias("part")).distinct().collect()}) > 4
+    assert df.select("read_id", F.spark_partition_id()).distinct().count() == 400
